@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, packing, quality_rules, secrets
+from . import exact_dedup, licenses, minhash, packing, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).withColumn("expressions", F.array_join("expressions", "; "))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     forest, threshold = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
     return quality_rules.score_rules(docs, forest, threshold).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_secrets, op6_minhash, op9_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_packing, op5_secrets, op6_minhash, op8_licenses, op9_quality_rules, op10_exact_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
