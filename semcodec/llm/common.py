@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,20 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, *, text_bytes: int = 4000) -> tuple[list[str], np.ndarray]:
+def held_out_rows(ids: pa.Array) -> list[bool]:
+    return [x is not None and zlib.crc32(str(x).encode()) % 4 == 2 for x in ids.to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, *, text_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most `limit` labelled rows that aren't held out, taken in the order of a hash of doc_id.
 
-    The bound keeps what the driver gathers fixed. Texts are cut to `text_bytes` characters for fitting only
+    The bound keeps what the driver gathers fixed. Texts are cut to `text_chars` characters for fitting only
     (scoring always takes whole texts). Rows without text, id or label are left out.
     """
     some = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     some = some.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = (
-        docs.select(F.col("doc_id").alias("_id"), F.substring("text", 1, text_bytes).alias("_text"))
+        docs.select(F.col("doc_id").alias("_id"), F.substring("text", 1, text_chars).alias("_text"))
         .where(F.col("_text").isNotNull())
         .join(F.broadcast(some), "_id")  # at most `limit` rows of two numbers
         .orderBy("_id", "_text")
