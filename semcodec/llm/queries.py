@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, toxicity
+from . import exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(url_filter.labelled_by_rules(pages)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the file of ranks holds the vocabulary of byte_bpe_50k.json and gives the same ids
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
@@ -55,7 +60,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(docs, forest, threshold).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
