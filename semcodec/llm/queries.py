@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_model.score_quality(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
@@ -60,7 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(docs, forest, threshold).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
