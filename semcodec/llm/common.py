@@ -79,6 +79,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return rows.column("_text").to_pylist(), np.asarray(rows.column("_y").to_pylist(), dtype=np.int64)
 
 
+#: Bits of a filter of ids: 2 MB, whatever the input. The fuller it is, the more rows pass that aren't meant.
+FILTER_BITS = 1 << 24
+
+
+def filter_slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the slots of ids, put together by the executors in pieces of 4 KB: a text whose slot isn't set needn't be shuffled."""
+    slot = filter_slot(column)
+    parts = ids.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and each text's offsets; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

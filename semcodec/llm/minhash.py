@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import materialize, slices, workers_see_package
+from .common import filter_slot, id_filter, in_filter, materialize, slices, workers_see_package
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -82,12 +82,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.append(pa.array((total[begins[1:]] - total[begins[:-1]]).view(np.int64)))
             sig = np.zeros((len(n), K), np.uint32)
             sig[full] = signatures(found, begins)
-            sig_col = pa.array([row.tobytes() if f else None for row, f in zip(sig, full)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *sums, sig_col], ["doc_id", "n", "f1", "f2", "sig"])
+            rows = [pa.array([row.tobytes() if f else None for row, f in zip(x, full)], pa.binary()) for x in (sig, sig.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *sums, *rows], ["doc_id", "n", "f1", "f2", "sig", "low"])
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
-    return kernel.mix(sig.astype(np.uint64) * np.uint64(K) + np.arange(K, dtype=np.uint64))
+    """48-bit names of coordinate values; that two values share a name only adds a candidate."""
+    return kernel.mix(sig.astype(np.uint64) * np.uint64(K) + np.arange(K, dtype=np.uint64)) >> np.uint64(16)
 
 
 def _signature_rows(col: pa.Array) -> np.ndarray:
@@ -97,7 +98,7 @@ def _signature_rows(col: pa.Array) -> np.ndarray:
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNT_BITS, np.int64)
     for b in batches:
-        total += np.bincount((_tokens(_signature_rows(b.column(0))) >> np.uint64(64 - COUNT_BITS)).astype(np.int64).ravel(), minlength=len(total))
+        total += np.bincount((_tokens(_signature_rows(b.column(0))) >> np.uint64(48 - COUNT_BITS)).astype(np.int64).ravel(), minlength=len(total))
     at = np.flatnonzero(total)
     for k in range(0, len(at), 1 << 16):
         part = at[k : k + (1 << 16)]
@@ -113,9 +114,9 @@ def _post(counts):
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 tokens = _tokens(_signature_rows(part.column(1)))
-                seen = table[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                seen = table[(tokens >> np.uint64(48 - COUNT_BITS)).astype(np.int64)]
                 order = np.lexsort((tokens, seen), axis=1)[:, :keep]
-                weight = np.repeat(seen.sum(axis=1), keep)
+                weight = np.repeat((8 * np.log2(1 + seen.sum(axis=1))).astype(np.int16), keep)
                 yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keep)), pa.array(weight)], ["token", "id", "weight"])
 
     return run
@@ -123,10 +124,25 @@ def _post(counts):
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        same = (_signature_rows(b.column(2)) == _signature_rows(b.column(3))).sum(axis=1) >= T
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(k)), np.uint8).reshape(-1, K) for k in (2, 3))
+        same = (x == y).sum(axis=1) >= T
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
 
+def _filtered_sets(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _sets([b.filter(pa.array(in_filter(bits.value, b.column(2).to_numpy())))])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the documents of ids (id), and of a few more; the texts stay where they are read."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
+    return docs.where("doc_id is not null").select("doc_id", "text", filter_slot("doc_id")).mapInArrow(_filtered_sets(bits), "id long, set binary")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, buf, off in slices(b.column(1)):
@@ -146,13 +162,14 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose sets are similar enough; classes: (id, sig); docs: (doc_id, text)."""
-    sig = classes.select("id", "sig")
-    close = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    """Of distinct pairs (a, b) those whose sets are similar enough; classes: (id, low); docs: (doc_id, text).
+
+    The count of equal coordinates takes the lowest byte of each, which never misses an equal one.
+    """
+    sig = classes.select("id", "low")
+    close = pairs.join(sig.select(F.col("id").alias("a"), F.col("low").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("low").alias("sb")), "b")
     close = materialize(close.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "close")
-    need = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = docs.join(need, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
-    sets = materialize(sets, "sets")
+    sets = materialize(shingle_sets(docs, close.select(F.col("a").alias("id")).union(close.select("b"))), "sets")
     full = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
     return full.select("a", "b", "xa", "xb").mapInArrow(_similar, "a long, b long")
 
@@ -201,9 +218,7 @@ def _long_list_links(lists: DataFrame, labels: DataFrame, docs: DataFrame) -> Da
     per = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("c").alias("c"))
     top = per.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("most"))
     rows = materialize(rows.join(top, "token").select("token", "id", "label", (F.col("label") != F.col("most")).alias("outside")), "unsettled")
-    need = rows.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.join(need, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
-    sets = materialize(sets.withColumn("n", F.expr("length(set) div 8")), "sets")
+    sets = materialize(shingle_sets(docs, rows.select("id")).withColumn("n", F.expr("length(set) div 8")), "sets")
     sized = rows.join(sets.select("id", "n"), "id")
     blocks = sized.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK).alias("na"))
     rows = rows.join(blocks, "token")
@@ -226,9 +241,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     workers_see_package(spark)
     docs = docs.select("doc_id", "text")
-    seen = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, sig binary"), "signatures")
+    seen = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, sig binary, low binary"), "signatures")
     key = ["f1", "f2", "n"]
-    classes = seen.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig"))
+    classes = seen.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig"), F.max("low").alias("low"))
     classes = materialize(classes, "classes")
 
     counted = classes.select("sig").mapInArrow(_count_tokens, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -236,14 +251,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     counts = spark.sparkContext.broadcast(table)  # 8 MB, whatever the input
 
-    posted = materialize(classes.select("id", "sig").mapInArrow(_post(counts), "token long, id long, weight long"), "postings")
-    lists = posted.groupBy("token").agg(F.count("*").alias("c"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")).where("c > 1")
-    shared = materialize(posted.select("token", "id").join(lists, "token"), "lists")
+    posted = materialize(classes.select("id", "sig").mapInArrow(_post(counts), "token long, id long, weight short"), "postings")
+    lists = posted.groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    shared = materialize(posted.join(lists, "token"), "lists")
 
     short = shared.where(F.col("c") <= LONG).select("token", "id")
     pairs = short.withColumnRenamed("id", "a").join(short.withColumnRenamed("id", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= L).select("a", "b")
     long = shared.where(F.col("c") > LONG)
-    stars = long.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    hubs = long.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("hub")).select("token", (-F.col("hub.id")).alias("hub"))
+    stars = long.join(hubs, "token").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
     links = materialize(confirm(pairs.union(stars).distinct(), classes, docs), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     more = materialize(_long_list_links(long.select("token", "id", "c"), labels.select("id", F.col("component").alias("label")), docs), "more")
