@@ -50,8 +50,12 @@ def scan_context(text: Column) -> Column:
         flipped = F.struct(s["level"].alias("level"), F.lit(True).alias("negated"), s["formal"].alias("formal"), s["out"].alias("out"))
         return F.when(w.isin(*[x for words in INTENSITY.values() for x in words]), raised).when(w.isin(*NEGATIONS), flipped).otherwise(plain)
 
-    sentence = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(CONTEXT_WORD), F.lit(0)), start, step, lambda s: s["out"])
-    return F.flatten(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[.!?]"), sentence))
+    plain_words = lambda words: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("negated"), F.lit(False).alias("formal")))
+    modifiers = _words([*[x for words in INTENSITY.values() for x in words], *NEGATIONS, *FORMAL])
+    sentences = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[.!?]"), lambda x: F.regexp_extract_all(x, F.lit(CONTEXT_WORD), F.lit(0)))
+    # only sentences with a modifier need the fold
+    folded = lambda words: F.when(F.arrays_overlap(words, modifiers), F.aggregate(words, start, step, lambda s: s["out"])).otherwise(plain_words(words))
+    return F.flatten(F.transform(sentences, folded))
 
 
 def language_of(filename: Column) -> Column:

@@ -52,7 +52,7 @@ def token_rows(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, dictionary: DataFrame, id_column: str = "doc_id", column: str = "text", *, context: bool = True) -> DataFrame:
     """(id, tokens, unknowns) for every row of docs with a distinct id; texts without words give empty arrays."""
-    table = lexicon.with_variants(dictionary)
+    table = lexicon.prepared(dictionary)
     rows = token_rows(words_of(docs.select(id_column, column), column, context), table)
     agg = rows.groupBy(id_column).agg(
         F.sort_array(F.collect_list("token")).alias("tokens"), F.sort_array(F.collect_list(F.when(F.col("token").isNull(), F.struct("pos", "word")))).alias("unknowns")

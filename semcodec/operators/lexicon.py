@@ -6,6 +6,8 @@ where its row count is checked to be small, else by Catalyst's choice.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +121,22 @@ def from_seeds(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> Da
     return first.select("kind", "word", "addr", F.lit(1).alias("polarity"), hint.alias("formality"), F.lit(1).alias("intensity"), F.lit("").alias("synset"), F.expr(f"cast(array() as {RELATED})").alias("related"))
 
 
+_SAMPLES: WeakKeyDictionary = WeakKeyDictionary()
+_PREPARED: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def sample(spark: SparkSession) -> DataFrame:
-    return from_seeds(spark, seed_rows(SAMPLE))
+    """The sample dictionary, one DataFrame for each session."""
+    if spark not in _SAMPLES:
+        _SAMPLES[spark] = from_seeds(spark, seed_rows(SAMPLE))
+    return _SAMPLES[spark]
+
+
+def prepared(dictionary: DataFrame) -> DataFrame:
+    """with_variants() of a dictionary, persisted and worked out once for each DataFrame."""
+    if dictionary not in _PREPARED:
+        _PREPARED[dictionary] = with_variants(dictionary).persist()
+    return _PREPARED[dictionary]
 
 
 def overlay(base: DataFrame, *extensions: DataFrame) -> DataFrame:

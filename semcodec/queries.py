@@ -176,7 +176,7 @@ _SCORED = """round(CASE WHEN t.addr = q.addr THEN 0.75::DOUBLE + 0.25::DOUBLE *
 def search_top(spark, sf_dir):
     index = search.build(_parts(spark, sf_dir), "p_partkey")
     query = encode.encode(spark.createDataFrame([(0, "cold")], "doc_id long, text string"), lexicon.sample(spark))
-    return search.search(index, query).select("p_partkey", F.round("score", 6).alias("score"))
+    return search.search(index, query, relations=False).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @_query(f"""WITH {_PART}, q AS (SELECT word AS query_id, addr, 64 + 16 * least(3, length(word) // 4) + 5 AS shade FROM lex WHERE kind = 'text' AND word IN ('large', 'small', 'medium', 'economy', 'blue')), n AS (SELECT p_partkey, count(*) AS n FROM t GROUP BY 1),
@@ -185,7 +185,7 @@ def search_top(spark, sf_dir):
 def search_batch(spark, sf_dir):
     index = search.build(_parts(spark, sf_dir), "p_partkey")
     asked = encode.encode(spark.createDataFrame([(w, w) for w in ("large", "small", "medium", "economy", "blue")], "query_id string, text string"), lexicon.sample(spark), "query_id")
-    return search.search_many(index, asked, top_k=3).withColumn("score", F.round("score", 6))
+    return search.search_many(index, asked, top_k=3, relations=False).withColumn("score", F.round("score", 6))
 
 
 @_query(f"""WITH {_PART} SELECT count(DISTINCT p_partkey) AS n FROM t WHERE domain IN ('SN', 'OB')""")
