@@ -189,3 +189,12 @@ def test_measures(spark):
     scores = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 0, 0.1), (1, 1, 0.9)], "q int, j int, score double").withColumn("gold", F.col("q"))
     assert evaluate.mean_reciprocal_rank(scores).first()["mrr"] == pytest.approx(0.75)
     assert spark.range(1).select(evaluate.verdict(F.lit(0.5), F.lit(0.495))).first()[0] == "TIE"
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'hot plate' AS text UNION ALL SELECT timestamp'2024-01-01 00:20:00', 'hot' UNION ALL SELECT timestamp'2024-01-01 09:00:00', 'cold'")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    streams.run_once(streams.count_stream, source, lexicon.sample(spark), str(tmp_path / "out"), str(tmp_path / "check"), "text", "ts")
+    got = {r["address"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"QU500": 2, "OB905": 1}  # the last window isn't over yet
