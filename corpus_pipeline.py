@@ -1,8 +1,12 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing; each stage reads what the one before kept."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing; each stage reads what the one before kept.
+
+Null texts count as empty ones and fail the quality rules. Rows without a doc_id pass the stages that compare documents, and their secrets are found
+by the fixed patterns. Empty tables give empty tables; columns beside doc_id and text are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semcodec.llm import exact_dedup, minhash, packing, quality_rules, secrets
@@ -15,20 +19,37 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs, forest, threshold)
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat a doc_id the one with the longest text stays; usually there are none, and nothing is shuffled."""
+    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if many.isEmpty():
+        return docs
+    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), F.desc("text"))
+    repeated = docs.join(many, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return docs.join(many, "doc_id", "left_anti").unionByName(repeated.select(*docs.columns))
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of ids; rows without a doc_id can't be told apart and stay."""
+    marked = ids.where("doc_id is not null").withColumn("_kept", F.lit(True))
+    return docs.join(marked, "doc_id", "left").where("_kept or doc_id is null").select(*docs.columns)
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of equal texts stays, and one of rows that repeat a doc_id."""
+    docs = _one_row_each(docs)
+    return _kept(docs, exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"))
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-copies stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    docs = _one_row_each(docs)
+    return _kept(docs, minhash.near_duplicates(docs).where("kept").select("doc_id"))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced in the text; every document stays."""
+    docs = _one_row_each(docs)
     clean = secrets.redacted(docs, secrets.scan(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 

@@ -128,7 +128,9 @@ def _redact(mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, k, spans_at = [], b.schema.get_field_index("text"), b.schema.get_field_index("_spans")
-            for text, spans in zip(b.column(k).to_pylist(), b.column(spans_at).to_pylist()):
+            for doc_id, text, spans in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(k).to_pylist(), b.column(spans_at).to_pylist()):
+                if doc_id is None and text:
+                    spans = [{"start": a, "end": z} for a, z, *_ in _base(text)]
                 if spans:
                     end, parts = 0, []
                     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -146,7 +148,7 @@ def _redact(mark: str):
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs, in the same columns, with all spans of scan(docs) replaced by `mark`, overlapping ones together.
 
-    Joined by doc_id; the ids of docs must be unique.
+    Joined by doc_id; the ids of docs must be unique. In rows without an id the fixed patterns' spans are replaced.
     """
     workers_see_package(docs.sparkSession)
     hits = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("doc_id", F.concat("base", "more").alias("_spans"))

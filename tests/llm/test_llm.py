@@ -342,3 +342,16 @@ def test_pipeline(spark, docs, tmp_path):
     kept = [i for i, (_, c, k) in brute_components([(i, texts[i]) for i in groups.values()]).items() if k]
     assert {r["doc_id"] for r in out} == set(kept)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    rng = random.Random(9)
+    a, b = (" ".join(words(rng, 30)) for _ in range(2))
+    rows = [(1, a), (1, a), (1, a + " longer"), (2, b), (None, b + " token=abcdefgh12345678"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ["1", "2", "None"]
+    text = {r["doc_id"]: r["text"] for r in corpus_pipeline._secrets(spark, docs.where("doc_id is null or doc_id = 1"), str(tmp_path)).collect()}
+    assert text == {1: a + " longer", None: b + " [secret]"}
+    assert all(stage(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
