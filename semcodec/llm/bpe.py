@@ -28,7 +28,7 @@ from .tokens import PieceEncoder, load_ranks
 
 SLOTS = 1 << 16
 #: Words that a worker remembers beside PieceEncoder's pieces.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _NONE = (1 << 31) - 1
 
 

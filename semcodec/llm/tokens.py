@@ -8,7 +8,7 @@ from array import array
 from functools import lru_cache
 
 #: Pieces that a worker remembers; the cache starts anew beyond that.
-CACHED = 600_000
+CACHED = 150_000
 
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
