@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semcodec.llm import exact_dedup, minhash, packing, quality_rules, secrets
+from semcodec.llm import exact_dedup, minhash, packing, quality_rules, secrets, tokens
 from semcodec.llm.common import materialize
 
 
@@ -58,7 +58,7 @@ def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences and offsets."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality_rules", _quality), ("exact_dedup", _exact), ("minhash", _near), ("secrets", _secrets), ("packing", _packed)]

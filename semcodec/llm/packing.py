@@ -32,9 +32,9 @@ SEQUENCE, END_ID = 2048, 0
 BUCKET = 20_000
 
 
-def _pieces(path: str, sequence: int, end_id: int):
+def _pieces(path: str, sequence: int, end_id: int, added: tuple[tuple[str, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
+        encoder = worker_encoder(path, added)
         end = int(end_id).to_bytes(4, "little")
         for b in batches:
             for lo in range(0, b.num_rows, 500):
@@ -51,10 +51,13 @@ def _pieces(path: str, sequence: int, end_id: int):
     return run
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32; a null text is an empty one, of end_id alone."""
+def token_pieces(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32; a null text is an empty one, of end_id alone.
+
+    added: tokens beside those of the ranks file, and their ids (tokens.added_tokens).
+    """
     workers_see_package(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_pieces(ranks_path, sequence, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(_pieces(ranks_path, sequence, end_id, added), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], sequence: int) -> list[tuple[int, int, int, int, int]]:
@@ -125,10 +128,10 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text).
 
     Repeated rows are packed each on its own; a null doc_id stays null; an empty table gives an empty table; other columns
-    are ignored.
+    are ignored. A text is split at `added` tokens first.
     """
-    return pack(materialize(token_pieces(docs, ranks_path, sequence, end_id), "pieces"), sequence)
+    return pack(materialize(token_pieces(docs, ranks_path, sequence, end_id, added), "pieces"), sequence)

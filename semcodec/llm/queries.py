@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the file of ranks holds the vocabulary of byte_bpe_50k.json and gives the same ids
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    # the file of ranks holds the vocabulary of byte_bpe_50k.json without its added tokens; with them it gives the same ids
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), added=tokens.added_tokens(_tokenizer("byte_bpe_50k.json")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

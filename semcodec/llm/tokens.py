@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import sys
 from array import array
 from functools import lru_cache
@@ -19,28 +21,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a `tokenizers` file and their ids: they stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [x["content"] for x in found if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]]:
+        raise ValueError(f"added tokens that take in or depend on what is beside them: {odd}")
+    return tuple((x["content"], x["id"]) for x in found)
+
+
 class PieceEncoder(dict):
     """Maps a text to its ids as little-endian unsigned 32-bit integers.
 
     Byte-level BPE splits a text before it merges, and a single space between two other characters always begins a new split
     together with what follows. So a text may be cut before each such space and the pieces encoded one by one, which
     are few and recur. A text with other white space beside a space is encoded whole.
+
+    Before that, a text is split at added tokens (the longest of those that begin at one place), and what lies between is encoded on its own.
     """
 
-    def __init__(self, encode_many):
+    def __init__(self, encode_many, added: tuple[tuple[str, int], ...] = ()):
         super().__init__()
         self.encode_many = encode_many
+        self.added = {content: array("I", [number]).tobytes() for content, number in added}
+        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
 
     @classmethod
-    def of_ranks(cls, path: str) -> "PieceEncoder":
-        """An encoder for a file of base64 tokens and ranks; special tokens are ordinary text."""
+    def of_ranks(cls, path: str, added: tuple[tuple[str, int], ...] = ()) -> "PieceEncoder":
+        """An encoder for a file of base64 tokens and ranks, and for added tokens; other special tokens are ordinary text."""
         import public_tokenizers
         import tiktoken
 
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
-        return cls(lambda texts: [array("I", own(x)).tobytes() for x in texts])
+        return cls(lambda texts: [array("I", own(x)).tobytes() for x in texts], added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return self._between(texts)
+        parts = [self.splits(text) for text in texts]
+        between = iter(self._between([x for own in parts for x in own[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(own)) for own in parts]
+
+    def _between(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHED:
             self.clear()
         cut = [text.split(" ") for text in texts]
@@ -60,6 +82,6 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str) -> PieceEncoder:
+def worker_encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> PieceEncoder:
     """The encoder that a Python worker keeps from task to task."""
-    return PieceEncoder.of_ranks(path)
+    return PieceEncoder.of_ranks(path, added)

@@ -301,6 +301,24 @@ def test_packing(spark, docs, empty, monkeypatch):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_packing_with_added_tokens(spark, tmp_path):
+    from semcodec.llm import queries
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [*ODD, "a <|endoftext|> b<|endoftext|>c", "<|endoftext|><|endoftext|>", "<|endoftext|", "x  <|endoftext|>  y\n" * 900]
+    expected = {}
+    for i, t in enumerate(texts):
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        begins = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048)]
+        for k, (a, z) in enumerate(zip(begins, [*begins[1:], len(ids)])):
+            expected[i, k] = (a, z - a, zlib.crc32(np.asarray(ids[a:z], dtype="<u4").tobytes()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.op4_packing(spark, str(tmp_path)), corpus_pipeline._packed(spark, docs, str(tmp_path))):
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in found.collect()} == expected
+
+
 def test_plan_is_best_fit():
     import bisect
 
