@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +60,27 @@ def held_out_rows(ids: pa.Array) -> list[bool]:
     return [x is not None and zlib.crc32(str(x).encode()) % 4 == 2 for x in ids.to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, *, text_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most `limit` labelled rows that aren't held out, taken in the order of a hash of doc_id.
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int, extract: Callable[[pa.Array], list[pa.Array]], fields: str) -> tuple[pa.Table, np.ndarray]:
+    """Features and 0/1 labels of at most `limit` labelled rows that aren't held out, chosen in the order of a hash of doc_id.
 
-    The bound keeps what the driver gathers fixed. Texts are cut to `text_chars` characters for fitting only
-    (scoring always takes whole texts). Rows without text, id or label are left out.
+    The executors turn whole texts into features (extract: a column of texts -> the columns of `fields`); the driver gathers those only.
+    Rows without text, id or label are left out. The rows come in the order of doc_id, and of a hash of the text where an id is repeated.
     """
+    workers_see_package(docs.sparkSession)
     some = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     some = some.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    rows = (
-        docs.select(F.col("doc_id").alias("_id"), F.substring("text", 1, text_chars).alias("_text"))
-        .where(F.col("_text").isNotNull())
-        .join(F.broadcast(some), "_id")  # at most `limit` rows of two numbers
-        .orderBy("_id", "_text")
-        .select("_text", "_y")
-        .toArrow()
-    )
-    return rows.column("_text").to_pylist(), np.asarray(rows.column("_y").to_pylist(), dtype=np.int64)
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(F.broadcast(some), "_id")  # at most `limit` rows of two numbers
+    rows = rows.select(F.col("_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "_y", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                columns = extract(part.column(3))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["_id", "_hash", "_y", *(x.split()[0] for x in fields.split(", "))])
+
+    found = rows.mapInArrow(run, f"_id long, _hash long, _y int, {fields}").toArrow().sort_by([("_id", "ascending"), ("_hash", "ascending")])
+    return found, found.column("_y").to_numpy().astype(np.int64)
 
 
 #: Bits of a filter of ids: 2 MB, whatever the input. The fuller it is, the more rows pass that aren't meant.

@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits and runs of other visible characters, so marks are words of their own; a text is
 the shares of its hashed words and word pairs (a word twice in a row is one and the same pair, whichever word it is). The fit sees
-at most `sample` labelled rows on the driver, in the order of a hash of their ids; scoring is a sparse dot product
+at most `sample` labelled rows, chosen in the order of a hash of their ids: the executors count the features of their whole texts, and the
+driver gathers the counts. Scoring is a sparse dot product
 in numpy on the texts' bytes, one pass without a shuffle.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .common import held_out_rows, labelled_sample, slices, workers_see_package
+from .common import held_out_rows, labelled_features, slices, workers_see_package
 
 BITS, SHARE = 20, 10.0
 _MARKS = kernel.NOT_SPACE & ~kernel.ALNUM
@@ -53,16 +54,23 @@ class QualityModel:
         return 1 / (1 + np.exp(-(self.bias + SHARE * (sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(n, 1))))
 
 
-def train(texts: list[str], y: np.ndarray, *, rounds: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.1) -> QualityModel:
-    """FTRL-proximal over the texts in order; without rows every score is 0.5."""
+def feature_counts(column: pa.Array) -> list[pa.Array]:
+    """The distinct features of each text and how often it has them."""
+    found, counts = [], []
+    for _, _, buf, off in slices(column):
+        every, begins = features(buf, off)
+        for i, j in zip(begins[:-1], begins[1:]):
+            at, count = np.unique(every[i:j], return_counts=True)
+            found.append(at.astype(np.int32))
+            counts.append(count.astype(np.int32))
+    return [pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+
+
+def train(counted: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rounds: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 0.1) -> QualityModel:
+    """FTRL-proximal over the texts' features and counts in order; without rows every score is 0.5."""
     bits = 1 << BITS
     z, n, w = np.zeros(bits + 1), np.zeros(bits + 1), np.zeros(bits + 1)  # the last one is the bias
-    rows = []
-    for _, _, buf, off in slices(pa.array(texts, pa.string())):
-        found, begins = features(buf, off)
-        for i, j in zip(begins[:-1], begins[1:]):
-            at, count = np.unique(found[i:j], return_counts=True)
-            rows.append((np.append(at, bits), np.append(SHARE * count / max(j - i, 1), 1.0)))
+    rows = [(np.append(at, bits), np.append(SHARE * count / max(count.sum(), 1), 1.0)) for at, count in counted]
     for _ in range(rounds):
         for (at, x), label in zip(rows, y):
             own_z, own_n = z[at], n[at]
@@ -80,7 +88,8 @@ def train(texts: list[str], y: np.ndarray, *, rounds: int = 4, alpha: float = 0.
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 6000) -> QualityModel:
     """A model of at most `sample` rows of labels (doc_id, quality) that aren't held out."""
-    return train(*labelled_sample(docs, labels, "quality", sample))
+    rows, y = labelled_features(docs, labels, "quality", sample, feature_counts, "at array<int>, count array<int>")
+    return train([(at.values.to_numpy(), count.values.to_numpy()) for at, count in zip(rows.column("at"), rows.column("count"))], y)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:

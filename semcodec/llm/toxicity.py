@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams with its ends marked (n from LEAST to MOST, and the whole word), hashed to a fixed number of
 embeddings; unseen misspellings share most n-grams with the words that they stand for. A text is the mean of its words' vectors, and
-embeddings and softmax are fitted together on at most `sample` labelled rows. As the softmax is linear, it reduces after fitting to
+embeddings and softmax are fitted together on at most `sample` labelled rows (the executors count the words of their whole texts, and the
+driver gathers the counts). As the softmax is linear, it reduces after fitting to
 one number for each n-gram bucket, so scoring sums numbers of hashed n-grams over the text's bytes, in numpy, without a
 shuffle.
 
@@ -12,6 +13,7 @@ summaries of its words' numbers: their mean, the sum of what exceeds a limit, an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .common import held_out_rows, labelled_sample, slices, workers_see_package
+from .common import held_out_rows, labelled_features, slices, workers_see_package
 
 LEAST, MOST, BUCKET_BITS, DIMENSIONS = 3, 6, 18, 4
+#: What a fit takes at once: words when their n-grams are made, n-grams of texts when they are counted.
+WORDS_AT_ONCE, GRAMS_AT_ONCE = 20_000, 1 << 20
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if kernel.ALNUM[b] else 32 for b in range(256))
 
 
 def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,13 +71,14 @@ class Toxicity:
         return 1 / (1 + np.exp(-summaries(values, first, self.limit) @ self.weights))
 
 
-def summaries(values: np.ndarray, first: np.ndarray, limit: float) -> np.ndarray:
+def summaries(values: np.ndarray, first: np.ndarray, limit: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """Of the words of each text, which begin at `first`; counts: how often a text has each of them, once if not given."""
     n = np.diff(first)
-    over = np.maximum(values - limit, 0)
-    sums = np.zeros((len(values) + 1, 2))
-    np.cumsum(np.stack([values, over], axis=1), axis=0, out=sums[1:])
-    mean, excess = ((sums[first[1:]] - sums[first[:-1]]).T).copy()
-    mean /= np.maximum(n, 1)
+    times = np.ones(len(values)) if counts is None else counts
+    sums = np.zeros((len(values) + 1, 3))
+    np.cumsum(np.stack([values * times, np.maximum(values - limit, 0) * times, times], axis=1), axis=0, out=sums[1:])
+    mean, excess, total = ((sums[first[1:]] - sums[first[:-1]]).T).copy()
+    mean /= np.maximum(total, 1)
     top = np.zeros(len(n))
     if len(values):
         top[n > 0] = np.maximum.reduceat(values, first[:-1][n > 0])
@@ -89,40 +95,51 @@ def _adam(rounds: int, rate: float, values: list[np.ndarray], gradient) -> None:
             v -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
 
 
-def train(texts: list[str], y: np.ndarray, *, rounds: int = 60, rate: float = 0.05, strength: float = 4.0, seed: int = 3) -> Toxicity:
-    """Fits embeddings, softmax and the summaries' weights; without both labels every score is the share of label 1."""
+def word_counts(column: pa.Array) -> list[pa.Array]:
+    """The distinct words of each text, A-Z lower-cased and joined by spaces, and how often it has them."""
+    found = [Counter((x.as_py() or "").encode().translate(_WORD_BYTES).split()) for x in column]
+    return [pa.array([b" ".join(x) for x in found], pa.binary()), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
+
+
+def train(bags: list[bytes], counts: np.ndarray, y: np.ndarray, *, rounds: int = 60, rate: float = 0.05, strength: float = 4.0, seed: int = 3) -> Toxicity:
+    """Fits embeddings, softmax and the summaries' weights; without both labels every score is the share of label 1.
+
+    bags: each text's distinct words, as word_counts() gives them; counts: their numbers, end to end.
+    """
     share = float(np.mean(y)) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Toxicity(np.zeros(1 << BUCKET_BITS), 0.0, np.array([0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    column = pa.array(texts, pa.string())
-    spans, grams = [], []
-    for _, _, buf, off in slices(column):
-        bucket, word, first = subwords(buf, off)
-        starts, ends, _ = kernel.word_spans(buf, off, kernel.ALNUM)
-        spans.append((kernel.span_hashes(buf, starts, ends, lower=True), np.diff(first)))
-        order = np.argsort(word, kind="stable")
-        grams.append((bucket[order], np.bincount(word, minlength=len(starts))))
-    # distinct words, their n-grams, and which texts have them
-    hashes, per_text = (np.concatenate(x) for x in zip(*spans))
-    flat, size = (np.concatenate(x) for x in zip(*grams))
-    _, one, word_of = np.unique(hashes, return_index=True, return_inverse=True)
-    begins = np.cumsum(size) - size
-    gram_word = np.repeat(np.arange(len(one)), size[one])
-    gram = flat[np.arange(size[one].sum()) - np.repeat(np.cumsum(size[one]) - size[one], size[one]) + np.repeat(begins[one], size[one])]
-    n_grams = size[one].astype(np.float64)
-    text_of = np.repeat(np.arange(len(y)), per_text)
-    pair = np.unique(text_of * len(one) + word_of)  # a word counts once in a text
-    text_of, word_of = pair // len(one), pair % len(one)
+    # distinct words, their n-grams, and which texts have them (a word counts once in a text)
+    number: dict[bytes, int] = {}
+    own = [np.array([number.setdefault(w, len(number)) for w in bag.split()], np.int64) for bag in bags]
+    word_of, text_of = np.concatenate(own), np.repeat(np.arange(len(y)), [len(x) for x in own])
+    every, grams, sizes = list(number), [], []
+    for lo in range(0, len(every), WORDS_AT_ONCE):
+        part = b" ".join(every[lo : lo + WORDS_AT_ONCE])
+        bucket, word, first = subwords(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+        grams.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(word, minlength=first[-1]))
+    gram, size = np.concatenate(grams), np.concatenate(sizes)
+    gram_word = np.repeat(np.arange(len(every)), size)
+    n_grams = size.astype(np.float64)
     n_words = np.maximum(np.bincount(text_of, minlength=len(y)), 1).astype(np.float64)
 
     # only n-grams whose share of toxic texts is off by more than chance are fitted; the others keep the value 0
-    begins = np.searchsorted(gram_word, np.arange(len(one) + 1))
-    count = np.diff(begins)[word_of]
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[word_of], count)
-    pairs = np.unique(np.repeat(text_of, count) << BUCKET_BITS | gram[at])
-    bucket, of = pairs & ((1 << BUCKET_BITS) - 1), pairs >> BUCKET_BITS
-    texts_with = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-    off_chance = (np.bincount(bucket, y[of], 1 << BUCKET_BITS) - share * texts_with) / np.sqrt(share * (1 - share) * texts_with + 1e-9)
+    begins, ends = np.cumsum(size) - size, np.searchsorted(text_of, np.arange(len(y)), "right")
+    texts_with, toxic_with = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    held = np.append(0, np.cumsum(size[word_of]))[ends]  # n-grams up to each text's end
+    lo = 0
+    while lo < len(y):  # some whole texts at once
+        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + GRAMS_AT_ONCE, "right")))
+        some = slice(ends[lo - 1] if lo else 0, ends[hi - 1])
+        count = size[word_of[some]]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[word_of[some]], count)
+        pairs = np.unique(np.repeat(text_of[some], count) << BUCKET_BITS | gram[at])
+        bucket, of = pairs & ((1 << BUCKET_BITS) - 1), pairs >> BUCKET_BITS
+        texts_with += np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        toxic_with += np.bincount(bucket, y[of], 1 << BUCKET_BITS)
+        lo = hi
+    off_chance = (toxic_with - share * texts_with) / np.sqrt(share * (1 - share) * texts_with + 1e-9)
     told = (np.abs(off_chance) >= strength) & (texts_with >= 4)
     fits = told[gram]
     fit_gram, fit_word = gram[fits], gram_word[fits]
@@ -136,26 +153,23 @@ def train(texts: list[str], y: np.ndarray, *, rounds: int = 60, rate: float = 0.
     scale = 1.0 / np.sqrt(n_words)  # a few words weigh more in a long text than in its mean
 
     def gradient():
-        words = sums(fit_word, table[:, fit_gram], len(one)) / n_grams
+        words = sums(fit_word, table[:, fit_gram], len(every)) / n_grams
         bags = sums(text_of, words[:, word_of], len(y)) * scale
         logits = bags.T @ softmax + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         miss = (p - one_hot) / len(y)
-        d_words = sums(word_of, (softmax @ miss.T * scale)[:, text_of], len(one)) / n_grams
+        d_words = sums(word_of, (softmax @ miss.T * scale)[:, text_of], len(every)) / n_grams
         return [sums(fit_gram, d_words[:, fit_word], table.shape[1]) + 1e-6 * table, bags @ miss, miss.sum(axis=0)]
 
     _adam(rounds, rate, [table, softmax, bias], gradient)
     value = (softmax[:, 1] - softmax[:, 0]) @ table
-    values = np.bincount(gram_word, value[gram], len(one)) / n_grams
+    values = np.bincount(gram_word, value[gram], len(every)) / n_grams
     scale = 1 / max(values.std(), 1e-12)
     model = Toxicity(value * scale, 0.0, np.zeros(4))
     values *= scale
     model.limit = float(np.quantile(values[word_of[y[text_of] == 0]], 0.999)) if (y[text_of] == 0).any() else 0.0
-    found = []
-    for _, _, buf, off in slices(column):
-        found.append(summaries(*model.word_values(buf, off), model.limit))
-    x = np.concatenate(found)
+    x = summaries(values[word_of], np.append(0, ends), model.limit, counts)
     mean, std = x[:, :-1].mean(axis=0), x[:, :-1].std(axis=0) + 1e-9
     z = np.concatenate([(x[:, :-1] - mean) / std, x[:, -1:]], axis=1)
     w = np.zeros(4)
@@ -168,7 +182,8 @@ def train(texts: list[str], y: np.ndarray, *, rounds: int = 60, rate: float = 0.
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000) -> Toxicity:
     """A model of at most `sample` rows of labels (doc_id, toxic) that aren't held out."""
-    return train(*labelled_sample(docs, labels, "toxic", sample))
+    rows, y = labelled_features(docs, labels, "toxic", sample, word_counts, "bag binary, count array<int>")
+    return train(rows.column("bag").to_pylist(), rows.column("count").combine_chunks().flatten().to_numpy(), y)
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame:

@@ -176,6 +176,23 @@ def test_classifiers_on_held_out_rows(spark, empty):
     assert s[0]["score"] > s[1]["score"]
 
 
+def test_classifiers_learn_from_whole_texts(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(160):
+        bad = k % 2
+        tail = rng.choices(("grumblefoot", "snarkwaddle", "***"), k=1500) if bad else words(rng, 1500)
+        rows.append((k, " ".join([*words(rng, 3500), *tail])))
+        assert len(rows[-1][1].split(" ")) == 5000 and len(" ".join(rows[-1][1].split(" ")[:3500])) > 20_000
+        labels.append((k, 1 - bad, bad))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    probe = spark.createDataFrame([(1, " ".join(words(rng, 40))), (2, " ".join([*words(rng, 20), *["grumblefoot snarkwaddle ***"] * 8]))], "doc_id long, text string")
+    fine, bad = (r["score"] for r in sorted(toxicity.score_toxicity(probe, toxicity.fit(docs, labels)).collect()))
+    assert fine < 0.3 < 0.7 < bad
+    fine, bad = (r["score"] for r in sorted(quality_model.score_quality(probe, quality_model.fit(docs, labels)).collect()))
+    assert bad < 0.3 < 0.7 < fine
+
+
 def test_forest_rejects_marks(spark):
     texts, quality, _ = labelled(random.Random(4))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
