@@ -202,6 +202,21 @@ def test_forest_rejects_marks(spark):
     assert quality_rules.filtered(rows, *quality_rules.fit(rows, labels)).count() == sum(kept.values())
 
 
+def test_forests_see_all_statistics(spark):
+    rng = random.Random(6)
+    prose = lambda: "\n".join(" ".join(rng.choice(("the", "river", "Tiger", "stone", "walks", "under", "light")) for _ in range(12)) for _ in range(5))
+    texts = [prose().replace(" ", " " if k % 5 else "*** ") for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(300)], "doc_id long, quality int")
+    blob = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(300)) for _ in range(12))
+    odd = ["\n".join(" ".join(str(rng.randrange(10**6)) for _ in range(6)) for _ in range(20)), blob("abcdefg"), blob("abcdef0123")]
+    odd.append("\n".join(f"{' '.join(rng.sample(('the', 'river', 'stone', 'walks', 'under', 'light'), 5))}\nall same" for _ in range(20)))
+    rows = spark.createDataFrame(list(enumerate([*texts, *odd])), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_rules.score_rules(rows, *quality_rules.fit(rows, labels)).collect()}
+    assert [(found[300 + k]["base_failed"], found[300 + k]["kept"]) for k in range(3)] == [(False, False)] * 3
+    assert found[303]["n_dup_lines"] == 19 and not found[303]["kept"]
+    assert np.mean([found[k]["kept"] for k in range(300) if k % 5 and not found[k]["base_failed"]]) > 0.97
+
+
 BASE = [
     ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12, 2),
     ("access", re.compile("AKIA[A-Z0-9]+"), 18, 0),
