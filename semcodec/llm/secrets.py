@@ -2,11 +2,12 @@
 
 Base spans come from three fixed patterns. The method looks at further candidates (well-known token prefixes, key blocks,
 bearer values, and values of other assignments) and counts for the hash of each value in how many
-repositories and by how many owners it is found. A value that several owners have is a copied example; one that belongs to one
-owner and looks random is taken for a live credential and reported as well.
+repositories and by how many owners it is found. A value that several owners or repositories have is a copied example; one that belongs to one
+owner, in few repositories, and looks random is taken for a live credential and reported as well. Where owners are many, a second owner doesn't
+make a value a copied example yet: a document with a credential may have one copy elsewhere.
 
 The counts are partially aggregated before each shuffle: (value, owner, repository), then (value, owner), then value. What
-is joined back to the documents are the values of one owner only, so a widely copied example is not gathered anywhere.
+is joined back to the documents are the values of few owners and repositories only, so a widely copied example is not gathered anywhere.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import materialize, workers_see_package
 #: Fixed patterns and least lengths; kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
+#: Owners of a table for each owner that a live value may have, where that is more than scan()'s max_owners; at most one more than that.
+OWNERS_FOR_ONE = 10
 _ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = re.compile("(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -84,14 +87,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPAN = "array<struct<start:long,end:long,kind:string>>"
 
 
-def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str = "lang", *, max_owners: int = 1, min_bits: float = 3.0) -> DataFrame:
+def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str = "lang", *, max_owners: int = 1, max_repos: int = 2, min_bits: float = 3.0) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, owner, base, more and live: arrays of (start, end, kind), one row for each row.
 
     base: spans of the fixed patterns; more: what the method adds; live: of both, those taken for live credentials.
 
     owner and repository say who has a document; a repository is told apart by its owner and its name. A null text is empty;
-    a null owner or repository counts as one of its own. Repeated rows count once towards owners. A value is taken for live if at most `max_owners` owners have
-    its value and its characters have `min_bits` bits of entropy or more. An empty table gives an empty table.
+    a null owner or repository counts as one of its own. Repeated rows count once towards owners. A value is taken for live if at most `max_owners` owners (one
+    more, where that is no more than one in OWNERS_FOR_ONE of all owners) and at most `max_repos` repositories have it and its characters have
+    `min_bits` bits of entropy or more. An empty table gives an empty table.
     """
     workers_see_package(docs.sparkSession)
     col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -100,7 +104,8 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "spans")
     some = seen.where(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
     owners = some.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = owners.where(F.col("owners") <= max_owners).select("value", "owners", "repos")
+    more_owners = max_owners + int(seen.select("owner").distinct().count() >= OWNERS_FOR_ONE * (max_owners + 1))
+    live = owners.where((F.col("owners") <= more_owners) & (F.col("repos") <= max_repos)).select("value", "owners", "repos")
     told = some.where(F.col("bits") >= min_bits).join(live, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "fixed")).alias("told"))
     plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     told = told.select("row", F.transform(F.filter("told", lambda s: ~s["fixed"]), plain).alias("more"), F.transform("told", plain).alias("live"))

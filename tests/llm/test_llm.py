@@ -244,6 +244,18 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(rows.limit(0))).count() == 0
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    value = lambda k: hashlib.sha256(str(k).encode()).hexdigest()[:30].upper() + "Zx"
+    places = {1: [("s0", "en"), ("s0", "de"), ("s0", "fr"), ("s0", "en")], 2: [("s0", "en"), ("s0", "de")], 3: [("s1", "en"), ("s2", "en")], 4: [("s1", "en"), ("s2", "en"), ("s3", "en")]}
+    rows = [(10 * k + n, f"Bearer {value(k)} end", *p) for k, own in places.items() for n, p in enumerate(own)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    many = few.union(spark.createDataFrame([(1000 + k, "nothing", f"t{k}", "en") for k in range(20)], few.schema))
+    for docs, live in ((few, {2}), (many, {2, 3})):
+        found = secrets.digest(secrets.scan(docs)).where("doc_id < 1000").collect()
+        assert {(r["doc_id"], r["spans"]) for r in found} == {(i, "bearer:7:39" if i // 10 in live else "") for i, *_ in rows}
+        assert all(r["spans"] == r["live_spans"] for r in found)
+
+
 def test_licenses(spark, docs, empty):
     rows = spark.createDataFrame([(1, "GNU General-Public\nLicense; CC BY cc by MIT license"), (2, None), (3, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"), (3, "cc by-nc")], "doc_id long, text string")
     found = [tuple(r) for r in licenses.scan_licenses(rows).select("n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()]
