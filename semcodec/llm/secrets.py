@@ -40,7 +40,7 @@ _MORE = (
     ("bearer", re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})")),
     ("jwt", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     ("block", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{32,}?)\s*-----END")),
-    ("other", re.compile(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]{0,16}["']?\x20{0,4}[:=]\x20{0,4}["']([^\s"']{12,128})["']""")),
+    ("other", re.compile(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]*["']?\x20{0,4}[:=]\x20{0,4}["']([^\s"']{12,})["']""")),
 )
 
 

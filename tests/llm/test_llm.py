@@ -256,6 +256,14 @@ def test_secrets_by_owners_and_repositories(spark):
         assert all(r["spans"] == r["live_spans"] for r in found)
 
 
+def test_secrets_of_any_length(spark):
+    value = "".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(40)).upper()
+    rows = [(1, f"private_key = '{value}' end"), (2, f'access_key_of_the_second_deployment: "{value[::-1]}" end')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a")).withColumn("lang", F.lit("en"))
+    assert {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(docs)).collect()} == {1: f"other:15:{15 + 2560}", 2: f"other:38:{38 + 2560}"}
+    assert {r["text"] for r in secrets.redacted(docs, secrets.scan(docs)).collect()} == {"private_key = '[secret]' end", 'access_key_of_the_second_deployment: "[secret]" end'}
+
+
 def test_licenses(spark, docs, empty):
     rows = spark.createDataFrame([(1, "GNU General-Public\nLicense; CC BY cc by MIT license"), (2, None), (3, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"), (3, "cc by-nc")], "doc_id long, text string")
     found = [tuple(r) for r in licenses.scan_licenses(rows).select("n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()]
