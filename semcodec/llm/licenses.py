@@ -2,12 +2,13 @@
 
 One pass over the texts, no shuffle. Words are runs of other characters than [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after
 A-Z are lower-cased; the automaton reads the words joined by single spaces, so a phrase is found wherever its words
-stand consecutively. What follows an identifier tag in the text is parsed as an expression of identifiers, AND, OR, WITH and parentheses.
+stand consecutively. What follows an identifier tag in the text, up to the line's end or the next tag, is parsed as an expression of identifiers, AND, OR, WITH and parentheses.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,8 @@ NOTICES = {
 }
 PHRASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 _TAG = "spdx license identifier"
-_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]{1,400})", re.ASCII | re.IGNORECASE)
+_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*", re.ASCII | re.IGNORECASE)
+_LINE = re.compile(r"[^\r\n]*")
 _FAMILIES = ("lgpl", "agpl", "gpl", "apache", "mit", "bsd", "mpl", "epl", "bsl", "isc", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "unlicense")
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -64,12 +66,15 @@ def to_postfix(expression: str) -> list[str]:
     """An expression's longest valid beginning in postfix order (operators lower-cased); [] if there is none."""
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] = []
+    best: tuple[int, list[str]] = 0, []  # how many of out, and the operators behind them
+    opened = 0
     wants = True  # an operand comes next
-    for token in re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*|\S", expression):
+    for m in re.finditer(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*|\S", expression):
+        token = m[0]
         low = token.lower()
         if wants and token == "(":
             stack.append(token)
+            opened += 1
         elif wants and re.match(r"[A-Za-z0-9]", token) and low not in _BINDS:
             out.append(token)
             wants = False
@@ -78,18 +83,22 @@ def to_postfix(expression: str) -> list[str]:
                 out.append(stack.pop())
             stack.append(low)
             wants = True
-        elif not wants and token == ")" and "(" in stack:
+        elif not wants and token == ")" and opened:
+            opened -= 1
             while (top := stack.pop()) != "(":
                 out.append(top)
         else:
             break
-        if not wants and "(" not in stack:
-            best = out + stack[::-1]
-    return best
+        if not wants and not opened:
+            best = len(out), stack[::-1]  # at most one operator of each kind
+    return out[: best[0]] + best[1]
 
 
 def alternatives(expression: str) -> list[frozenset[str]]:
-    """The sets of licences that fulfil an expression: OR gives either, AND both together, WITH binds an exception."""
+    """The sets of licences that fulfil an expression: OR gives either, AND both together, WITH binds an exception.
+
+    Their number may double with each part of an expression; scans take factored() instead.
+    """
     stack: list[list[frozenset[str]]] = []
     for token in to_postfix(expression):
         if token not in _BINDS:
@@ -97,15 +106,72 @@ def alternatives(expression: str) -> list[frozenset[str]]:
             continue
         right, left = stack.pop(), stack.pop()
         if token == "or":
-            stack.append(list(dict.fromkeys(left + right))[:64])
+            stack.append(list(dict.fromkeys(left + right)))
         elif token == "and":
-            stack.append(list(dict.fromkeys(a | b for a in left for b in right))[:64])
+            stack.append(list(dict.fromkeys(a | b for a in left for b in right)))
         else:
             name = " ".join(sorted(right[0]))
             stack.append([frozenset(f"{x} with {name}" for x in a) for a in left])
     return stack[0] if stack else []
 
 
+def _joined(op: str, left: str | tuple, right: str | tuple) -> tuple:
+    """(op, parts), with the parts of a side of the same operator among them; the longer side is extended in place."""
+    a, b = (x[1] if x[0] == op else deque([x]) for x in (left, right))
+    if len(a) < len(b):
+        b.extendleft(reversed(a))
+        return op, b
+    a.extend(b)
+    return op, a
+
+
+def factored(expression: str) -> tuple[str, set[str]]:
+    """An expression with | for OR and & for AND, as it is bracketed, and its licences without exceptions; lower-cased.
+
+    Names that stand twice in one group are given once, and those of an AND group in order, before groups in brackets.
+    """
+    stack: list[tuple] = []  # (op, parts), or ("", name)
+    names: list[set[str]] = []
+    for token in to_postfix(expression):
+        if token not in _BINDS:
+            stack.append(("", token.lower()))
+            names.append({token.lower()})
+            continue
+        right, left, own, other = stack.pop(), stack.pop(), names.pop(), names.pop()
+        if token == "with":
+            stack.append(("", f"{left[1]} with {right[1]}") if left[0] == right[0] == "" else ("with", deque([left, right])))
+            names.append(other)  # the left side's
+        else:
+            stack.append(_joined(token, left, right))
+            small, large = sorted((own, other), key=len)
+            large |= small
+            names.append(large)
+    if not stack:
+        return "", set()
+    out: list[str] = []
+    rest: list[str | tuple] = [stack[0]]
+    while rest:
+        node = rest.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        op, parts = node
+        if not op:
+            out.append(parts)
+            continue
+        if op == "and":
+            parts = [*sorted({p for p in parts if not p[0]}), *(p for p in parts if p[0])]
+        elif op == "or":
+            parts = list({n if p[0] else p: p for n, p in enumerate(parts)}.values())  # a group for itself, a name once
+        mark = {"or": " | ", "and": " & ", "with": " with "}[op]
+        for n, p in enumerate(reversed(parts)):
+            if n:
+                rest.append(mark)
+            bare = not p[0] or (op == "or" and p[0] != "or")
+            rest += [p] if bare else [")", p, "("]
+    return "".join(out), names[0]
+
+
 def family(identifier: str) -> str:
     base = identifier.split(" with ")[0]
     return next((f for f in _FAMILIES if base.startswith(f)), base)
@@ -128,10 +194,12 @@ def scan_text(text: str) -> tuple:
             labels.add(NOTICES[phrase][0])
             miss *= 1 - NOTICES[phrase][1]
     expressions = []
-    for m in _TAGGED.finditer(text) if tagged else ():
-        if sets := alternatives(m[1]):
-            labels |= {family(x) for s in sets for x in s}
-            expressions.append(" | ".join(" & ".join(sorted(s)) for s in sets))
+    tags = list(_TAGGED.finditer(text)) if tagged else []
+    for m, end in zip(tags, [*(m.start() for m in tags[1:]), len(text)]):
+        expression, names = factored(_LINE.match(text, m.end(), end)[0])
+        if names:
+            labels |= set(map(family, names))
+            expressions.append(expression)
     if expressions:
         miss *= 1 - TAG_WEIGHT
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - miss, expressions

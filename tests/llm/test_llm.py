@@ -274,6 +274,20 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == len(CORPUS)
 
 
+def test_long_license_expressions(spark):
+    groups = [f"(a{k}x OR b{k}x)" for k in range(7)]
+    one_line = "SPDX-License-Identifier: " + " AND ".join(f"long-name-{k:03}" for k in range(300)) + " AND GPL-2.0-only WITH Classpath-exception-2.0"
+    rows = [(1, "SPDX-License-Identifier: " + " AND ".join(groups)), (2, one_line), (3, "SPDX-License-Identifier: MIT SPDX-License-Identifier: (ISC OR\nSPDX-License-Identifier: MIT AND (ISC OR Zlib AND MIT OR ISC) OR"), (4, "SPDX-License-Identifier: " + "(" * 50_000 + "MIT" + " OR ISC)" * 50_000)]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["labels"].split(",") == sorted(f"{x}{k}x" for k in range(7) for x in "ab")
+    assert found[1]["expressions"] == [" & ".join(f"(a{k}x | b{k}x)" for k in range(7))]
+    assert found[2]["labels"].split(",") == ["gpl", *(f"long-name-{k:03}" for k in range(300))]
+    assert found[2]["expressions"][0].startswith("gpl-2.0-only with classpath-exception-2.0 & long-name-000 & ") and found[2]["expressions"][0].endswith("long-name-299")
+    assert found[3]["expressions"] == ["mit", "mit & (isc | mit & zlib)"] and found[4]["expressions"] == ["mit | isc"]
+    assert licenses.factored("(A OR B) AND C") == ("c & (a | b)", {"a", "b", "c"}) and licenses.factored("A AND B OR C AND B")[0] == "a & b | b & c"
+    assert licenses.factored("(A OR B) WITH E") == ("(a | b) with e", {"a", "b"}) and licenses.factored("AND")[0] == ""
+
+
 URLS = ["http://A.Example.com/en/1", "http://example.com/en/75", "https://x.net/de/1", "https://example.net/de/8?x", "http://org/es/", "no scheme", None, "http://notcom/en/", "http://h?x", "ftp://com#/en/", "://com/en/a", "http://example.com/fr/2?a=1&b=2"]
 
 
