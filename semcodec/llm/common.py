@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +31,107 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a session on this machine alone gets a temporary folder; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="semcodec-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="semcodec-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and any executor can reread it.
 
-    The files go when the session's JVM exits.
+    The files go with drop(), at the end of the temporary_tables() block in which they were written, or else when the session's JVM exits.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/semcodec-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{shared_root(spark)}/semcodec-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{label}")
+    where, files = _place(spark, root)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(f"{root}/{label}")
+    out._semcodec_root = root
+    if (tables := _scope.get()) is not None:
+        tables.append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialize(): only once everything that is worked out of them has been written itself."""
+    for table in tables:
+        where, files = _place(table.sparkSession, table._semcodec_root)
+        files.delete(where, True)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What materialize() writes within the block goes at its end, but for tables given to the block's function."""
+    tables: list[DataFrame] = []
+    token = _scope.set(tables)
+
+    def keep(table: DataFrame) -> DataFrame:
+        tables.remove(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        drop(*tables)
+
+
+def columns(rows: DataFrame) -> list[Column]:
+    """rows' columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores in front until none of columns is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Ids up to which rows without them are found with a broadcast join (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows whose `key` isn't among ids (one column of numbers); what may be few ids is sent to the rows, more than BROADCAST_IDS shuffle both."""
+    ids = materialize(ids.toDF(key), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*columns(rows))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column of numbers that tells its rows apart: doc_id, where it does that.
+
+    Else docs with another column: doc_id where no other row has it; rows without a doc_id, and all rows of one that is repeated, get numbers
+    above all doc_ids (which must be under 2^62 then). Such docs are written once, so that the numbers stay.
+    """
+    many = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    if many.isEmpty():
+        return docs, "doc_id"
+    name = unused("row", docs.columns)
+    odd = unused("odd", docs.columns)
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    told = docs.join(many.where("doc_id is not null").withColumn(odd, F.lit(True)), "doc_id", "left")
+    fresh = F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()
+    number = F.when(F.col(odd).isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(fresh)
+    return materialize(told.select(*columns(docs), number.alias(name)), "numbered"), name
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -64,7 +148,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int
     """Features and 0/1 labels of at most `limit` labelled rows that aren't held out, chosen in the order of a hash of doc_id.
 
     The executors turn whole texts into features (extract: a column of texts -> the columns of `fields`); the driver gathers those only.
-    Rows without text, id or label are left out. The rows come in the order of doc_id, and of a hash of the text where an id is repeated.
+    Rows without text, id or label are left out. Of rows that repeat an id, the one whose text has the least hash counts. The rows come in the order of doc_id.
     """
     workers_see_package(docs.sparkSession)
     some = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
@@ -79,30 +163,37 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int
                 columns = extract(part.column(3))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], ["_id", "_hash", "_y", *(x.split()[0] for x in fields.split(", "))])
 
-    found = rows.mapInArrow(run, f"_id long, _hash long, _y int, {fields}").toArrow().sort_by([("_id", "ascending"), ("_hash", "ascending")])
+    names = [x.split()[0] for x in fields.split(", ")]
+    each = rows.mapInArrow(run, f"_id long, _hash long, _y int, {fields}").groupBy("_id", "_y").agg(F.min_by(F.struct(*names), "_hash").alias("x"))
+    found = each.select("_id", "_y", *[f"x.{n}" for n in names]).toArrow().sort_by("_id")
     return found, found.column("_y").to_numpy().astype(np.int64)
 
 
-#: Bits of a filter of ids: 2 MB, whatever the input. The fuller it is, the more rows pass that aren't meant.
-FILTER_BITS = 1 << 24
+#: Bits of a filter for each id, and bits up to which a filter is sent to the executors (32 MB).
+FILTER_BITS_EACH, FILTER_BITS_MOST = 8, 1 << 28
 
 
-def filter_slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+def passing(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """rows with a last column, and what a worker does with a batch of them: it leaves the rows of the ids, and some 12 % of the others.
 
-
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the slots of ids, put together by the executors in pieces of 4 KB: a text whose slot isn't set needn't be shuffled."""
-    slot = filter_slot(column)
-    parts = ids.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1
+    So texts that aren't meant needn't be shuffled. The filter is a bitmap of hashed ids, put together by the executors in pieces of 4 KB and
+    sent to them. For more ids than fit in FILTER_BITS_MOST, rows are joined with ids instead.
+    """
+    bits = 1 << max(15, (FILTER_BITS_EACH * ids.count() - 1).bit_length())
+    if bits > FILTER_BITS_MOST:
+        return rows.join(ids.select(F.col(id_column).alias(column)).distinct(), column, "left_semi").select(*rows.columns, F.lit(0).alias("_slot")), lambda batch: batch.drop_columns(["_slot"])
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    parts = ids.groupBy(F.bitmap_bucket_number(slot(id_column) + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(id_column) + 1)).alias("bits")).toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    for bucket, own in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        table[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(own, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column("_slot").to_numpy()
+        return batch.filter(pa.array(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).drop_columns(["_slot"])
+
+    return rows.select("*", slot(column).alias("_slot")), keep
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

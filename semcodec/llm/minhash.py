@@ -11,14 +11,17 @@ Jaccard similarity. Texts with one and the same set are one class, and only clas
    coordinates are confirmed on full shingle sets: 100 * |both| >= 75 * |either|.
 3. Lists longer than LONG are skipped there. Their classes are first held against the list's hub, its class with the
    commonest tokens, and confirmed as above; that links the members of large groups of copies without their pairs.
+   What a hub leaves apart gets a hub of its own, again and again in those lists where that links a quarter of it.
    Where a long list then still has several components, the members outside its largest one are counted against
    all members, in blocks of bounded bytes, by merging the members' shingle lists; a block gives a spanning forest of its links.
+   Of lists with the same members (documents that share a passage share many coordinates) only one is settled so.
 
-With K = 64, T = 32 a pair of similarity 0.75 has fewer than T equal coordinates with a probability of 3e-6.
+With K = 64, T = 32 a pair of similarity 0.75 has fewer than T equal coordinates with a probability of 5e-6.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import filter_slot, id_filter, in_filter, materialize, slices, workers_see_package
+from .common import drop, materialize, passing, slices, workers_see_package
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -35,7 +38,8 @@ K, T, L, LONG = 64, 32, 3, 24
 #: Entries of the table of token counts: its size doesn't depend on the data.
 COUNT_BITS = 20
 _FACTORS = np.random.default_rng(99).integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SECOND = np.uint64(0xA24BAED4963EE407)
+#: Share of a long list's rows outside its largest component that a round of hubs must leave at most, for another round in that list.
+WORTH = 0.75
 
 
 def text_shingles(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +79,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, begins = text_shingles(buf, off)
             n = np.diff(begins)
             full = n > 0
-            sums = []
-            for x in (kernel.mix(found + _SECOND), kernel.mix(found ^ _SECOND)):
-                total = np.zeros(len(x) + 1, np.uint64)
-                np.cumsum(x, out=total[1:])
-                sums.append(pa.array((total[begins[1:]] - total[begins[:-1]]).view(np.int64)))
+            raw, at = memoryview(found.tobytes()), 8 * begins  # equal sets have equal digests of all their shingles, in order
+            names = np.frombuffer(b"".join(hashlib.sha256(raw[i:j]).digest()[:16] for i, j in zip(at[:-1], at[1:])), np.int64).reshape(-1, 2)
+            sums = [pa.array(names[:, 0]), pa.array(names[:, 1])]
             sig = np.zeros((len(n), K), np.uint32)
             sig[full] = signatures(found, begins)
             rows = [pa.array([row.tobytes() if f else None for row, f in zip(x, full)], pa.binary()) for x in (sig, sig.astype(np.uint8))]
@@ -129,26 +131,21 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
 
-def _filtered_sets(bits):
+def _sets(keep):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _sets([b.filter(pa.array(in_filter(bits.value, b.column(2).to_numpy())))])
+        for b in map(keep, batches):
+            for lo, hi, buf, off in slices(b.column(1)):
+                found, begins = text_shingles(buf, off)
+                rows = [found[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["id", "set"])
 
     return run
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents of ids (id), and of a few more; the texts stay where they are read."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
-    return docs.where("doc_id is not null").select("doc_id", "text", filter_slot("doc_id")).mapInArrow(_filtered_sets(bits), "id long, set binary")
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, buf, off in slices(b.column(1)):
-            found, begins = text_shingles(buf, off)
-            rows = [found[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["id", "set"])
+    rows, keep = passing(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", ids, "id")
+    return rows.mapInArrow(_sets(keep), "id long, set binary")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +168,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     close = materialize(close.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "close")
     sets = materialize(shingle_sets(docs, close.select(F.col("a").alias("id")).union(close.select("b"))), "sets")
     full = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
-    return full.select("a", "b", "xa", "xb").mapInArrow(_similar, "a long, b long")
+    links = materialize(full.select("a", "b", "xa", "xb").mapInArrow(_similar, "a long, b long"), "links")
+    drop(close, sets)
+    return links
 
 
 def _blocked(rows):
@@ -212,22 +211,45 @@ def _blocked(rows):
 BLOCK = 1 << 20
 
 
-def _long_list_links(lists: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links within lists (token, id) that hold several components of labels (id, label), on full sets."""
+def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (token, id, weight, label, outside) of lists (token, id, weight) that hold several components of labels (id, label); outside: not in the list's largest one."""
     rows = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("c").alias("c"))
+    per = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     top = per.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("most"))
-    rows = materialize(rows.join(top, "token").select("token", "id", "label", (F.col("label") != F.col("most")).alias("outside")), "unsettled")
+    return materialize(rows.join(top, "token").select("token", "id", "weight", "label", (F.col("label") != F.col("most")).alias("outside")), "unsettled")
+
+
+def _long_list_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links within the lists of _unsettled() rows, on full sets."""
+    names = rows.groupBy("token").agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("g")).alias("members"))
+    once = names.groupBy("members").agg(F.min("token").alias("token"))
+    rows = materialize(rows.join(once, "token", "left_semi").select("token", "id", "label", "outside"), "once")
     sets = materialize(shingle_sets(docs, rows.select("id")).withColumn("n", F.expr("length(set) div 8")), "sets")
     sized = rows.join(sets.select("id", "n"), "id")
-    blocks = sized.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK).alias("na"))
-    rows = rows.join(blocks, "token")
+    blocks = materialize(sized.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / BLOCK).alias("na")), "blocks")
+    each = rows.join(blocks, "token")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    strays = rows.where("outside").select("token", own("na").alias("i"), every("nb").alias("j"), "id", "label", F.lit(True).alias("stray"))
-    members = rows.select("token", every("na").alias("i"), own("nb").alias("j"), "id", "label", F.lit(False).alias("stray"))
+    strays = each.where("outside").select("token", own("na").alias("i"), every("nb").alias("j"), "id", "label", F.lit(True).alias("stray"))
+    members = each.select("token", every("na").alias("i"), own("nb").alias("j"), "id", "label", F.lit(False).alias("stray"))
     tasks = strays.unionByName(members).join(sets.select("id", "set"), "id")
-    return tasks.groupBy("token", "i", "j").applyInArrow(_blocked, "a long, b long")
+    links = materialize(tasks.groupBy("token", "i", "j").applyInArrow(_blocked, "a long, b long"), "more")
+    drop(rows, sets, blocks)
+    return links
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's hub, the row with the greatest weight of those that may be hubs, and its rows of other labels; rows: (token, id, weight, label, outside)."""
+    hubs = materialize(rows.where("outside").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "label")).alias("hub")).select("token", (-F.col("hub.id")).alias("hub"), F.col("hub.label").alias("own")), "hubs")
+    return rows.join(hubs, "token").where("label <> own").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+
+
+def _joined(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, label) of links (a, b) and what labels (id, label) hold together already."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if labels is not None:
+        edges = edges.union(labels.where("id <> label").select("id", "label"))
+    return components(edges).select("id", F.col("component").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,21 +274,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(table)  # 8 MB, whatever the input
 
     posted = materialize(classes.select("id", "sig").mapInArrow(_post(counts), "token long, id long, weight short"), "postings")
-    lists = posted.groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    # a table of its own, so that the join's two sides are dealt apart and a token of very many documents can be split
+    lists = materialize(posted.groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1"), "counts")
     shared = materialize(posted.join(lists, "token"), "lists")
+    drop(posted, lists)
 
     short = shared.where(F.col("c") <= LONG).select("token", "id")
     pairs = short.withColumnRenamed("id", "a").join(short.withColumnRenamed("id", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= L).select("a", "b")
     long = shared.where(F.col("c") > LONG)
-    hubs = long.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("hub")).select("token", (-F.col("hub.id")).alias("hub"))
-    stars = long.join(hubs, "token").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
-    links = materialize(confirm(pairs.union(stars).distinct(), classes, docs), "links")
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = materialize(_long_list_links(long.select("token", "id", "c"), labels.select("id", F.col("component").alias("label")), docs), "more")
-    stars = labels.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-    labels = components(stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    least = classes.join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
+    stars = _stars(long.select("token", "id", "weight", F.col("id").alias("label"), F.lit(True).alias("outside")))
+    labels = _joined(confirm(pairs.union(stars).distinct(), classes, docs))
+    rows, before = _unsettled(long.select("token", "id", "weight"), labels), long.select("token", F.col("c").alias("was")).distinct()
+    while True:
+        left = rows.groupBy("token").agg(F.count_if("outside").alias("left"))
+        worth = materialize(left.join(before, "token").where(F.col("left") <= WORTH * F.col("was")).select("token", F.col("left").alias("was")), "worth")
+        if worth.isEmpty():
+            break
+        labels = _joined(confirm(_stars(rows.join(worth.select("token"), "token", "left_semi")).distinct(), classes, docs), labels)
+        rows, before = _unsettled(rows.select("token", "id", "weight"), labels), worth
+    if not rows.isEmpty():
+        labels = _joined(_long_list_links(rows, docs), labels)
+    drop(rows, shared)
+
+    least = classes.join(labels, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
     first = Window.partitionBy("doc_id").orderBy(F.desc("n"), "f1", "f2")
     out = seen.join(least, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     once = F.col("doc_id").isNull() | (F.row_number().over(first) == 1)
