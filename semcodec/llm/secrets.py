@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, workers_see_package
+from .common import columns, materialize, unused, workers_see_package
 
 #: Fixed patterns and least lengths; kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
@@ -30,9 +30,9 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 #: Owners of a table for each owner that a live value may have, where that is more than scan()'s max_owners; at most one more than that.
 OWNERS_FOR_ONE = 10
 _ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
-_ASSIGN = re.compile("(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
+ASSIGN = re.compile("(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _HINTS = ("password", "passwd", "secret", "token", "api")
 #: The method's own candidates: a value is group 1.
 _MORE = (
@@ -40,28 +40,34 @@ _MORE = (
     ("bearer", re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})")),
     ("jwt", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     ("block", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{32,}?)\s*-----END")),
-    ("other", re.compile(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]*["']?\x20{0,4}[:=]\x20{0,4}["']([^\s"']{12,})["']""")),
+    ("other", re.compile(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]*["']?\x20*[:=]\x20*["']([^\s"']{12,})["']""")),
 )
 
 
 def _base(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) in code points, ordered by start, then kind as listed."""
-    found = [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
+    found = [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
+        found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     low = text.lower()
     if any(h in low for h in _HINTS):
-        found += [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     return [(a, z, KINDS[k], value) for a, k, z, value in sorted(found)]
 
 
 def _more(text: str, taken: list[tuple]) -> list[tuple[int, int, str, str]]:
     """The method's candidates that don't overlap a base span or an earlier candidate."""
     found: list[tuple[int, int, str, str]] = []
+    covered = None
     for kind, pattern in _MORE:
         for m in pattern.finditer(text):
+            if covered is None:
+                covered = bytearray(len(text))
+                for x, y, *_ in taken:
+                    covered[x:y] = b"\1" * (y - x)
             a, z = m.span(1)
-            if all(z <= x or y <= a for x, y, *_ in [*taken, *found]):
+            if covered.find(1, a, z) < 0:
+                covered[a:z] = b"\1" * (z - a)
                 found.append((a, z, kind, m[1]))
     return sorted(found)
 
@@ -95,7 +101,8 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     owner and repository say who has a document; a repository is told apart by its owner and its name. A null text is empty;
     a null owner or repository counts as one of its own. Repeated rows count once towards owners. A value is taken for live if at most `max_owners` owners (one
     more, where that is no more than one in OWNERS_FOR_ONE of all owners) and at most `max_repos` repositories have it and its characters have
-    `min_bits` bits of entropy or more. An empty table gives an empty table.
+    `min_bits` bits of entropy or more. An empty table gives an empty table. Whole texts of any length are scanned; other columns of docs, whatever
+    their names, are ignored.
     """
     workers_see_package(docs.sparkSession)
     col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -129,12 +136,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(n, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "more")).alias("spans"), listed(F.col("live")).alias("live_spans"))
 
 
-def _redact(mark: str):
+def _redact(mark: str, key: str, spans_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, k, spans_at = [], b.schema.get_field_index("text"), b.schema.get_field_index("_spans")
-            for doc_id, text, spans in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(k).to_pylist(), b.column(spans_at).to_pylist()):
-                if doc_id is None and text:
+            texts, k, spans_at = [], b.schema.get_field_index("text"), b.schema.get_field_index(spans_column)
+            for row, text, spans in zip(b.column(b.schema.get_field_index(key)).to_pylist(), b.column(k).to_pylist(), b.column(spans_at).to_pylist()):
+                if row is None and text:
                     spans = [{"start": a, "end": z} for a, z, *_ in _base(text)]
                 if spans:
                     end, parts = 0, []
@@ -145,16 +152,23 @@ def _redact(mark: str):
                     text = "".join(parts) + text[end:]
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if i == k else b.column(i) for i in range(b.num_columns) if i != spans_at]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in b.schema.names if n != "_spans"])
+            yield pa.RecordBatch.from_arrays(columns, [n for n in b.schema.names if n != spans_column])
 
     return run
 
 
-def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
+#: Spans up to which they are broadcast to the texts (some 60 bytes each); beyond that both sides are shuffled.
+BROADCAST_SPANS = 300_000
+
+
+def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]", key: str = "doc_id") -> DataFrame:
     """docs, in the same columns, with all spans of scan(docs) replaced by `mark`, overlapping ones together.
 
-    Joined by doc_id; the ids of docs must be unique. In rows without an id the fixed patterns' spans are replaced.
+    Joined by found's doc_id with docs' `key`, whose values must be unique. In rows where it is null the fixed patterns' spans are replaced. Columns of docs
+    may have any names.
     """
     workers_see_package(docs.sparkSession)
-    hits = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("doc_id", F.concat("base", "more").alias("_spans"))
-    return docs.join(hits, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_redact(mark), docs.schema)
+    spans = unused("spans", docs.columns)
+    hits = found.where((F.size("base") > 0) | (F.size("more") > 0)).select(F.col("doc_id").alias(key), F.concat("base", "more").alias(spans))
+    many = hits.agg(F.sum(F.size(spans))).first()[0] or 0
+    return docs.join(F.broadcast(hits) if many <= BROADCAST_SPANS else hits, key, "left").select(*columns(docs), spans).mapInArrow(_redact(mark, key, spans), docs.schema)
