@@ -180,19 +180,22 @@ def family(identifier: str) -> str:
 def scan_text(text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions."""
     words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
-    joined = f" {b' '.join(words).decode('latin-1')} "
+    joined = b" ".join([b"", *words, b""])
     places, base, labels, miss, tagged = [], set(), set(), 1.0, False
-    for end, phrase in _automaton().iter(joined):
+    for end, phrase in _automaton().iter(joined.decode("latin-1")):
         if phrase == _TAG:
             tagged = True
         if phrase in PHRASES:
-            places.append(joined.count(" ", 0, end - len(phrase) - 1))
+            places.append(end - len(phrase) - 1)
             if PHRASES[phrase] not in base:
                 miss *= 1 - PHRASE_WEIGHT
             base.add(PHRASES[phrase])
         if phrase in NOTICES and NOTICES[phrase][0] not in labels:
             labels.add(NOTICES[phrase][0])
             miss *= 1 - NOTICES[phrase][1]
+    first = last = None
+    if places:  # from places in the joined words to words
+        first, last = joined.count(b" ", 0, min(places)), joined.count(b" ", 0, max(places))
     expressions = []
     tags = list(_TAGGED.finditer(text)) if tagged else []
     for m, end in zip(tags, [*(m.start() for m in tags[1:]), len(text)]):
@@ -202,7 +205,7 @@ def scan_text(text: str) -> tuple:
             expressions.append(expression)
     if expressions:
         miss *= 1 - TAG_WEIGHT
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - miss, expressions
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - miss, expressions
 
 
 _FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string()))]
