@@ -8,6 +8,7 @@ on the driver from those sums (at most as many as urls). Scoring is one expressi
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: (host, path, verdict): fixed rules.
 RULES = [
     ("com", "/en/", "block"),
@@ -90,7 +93,10 @@ def _class_of(value: Column, ends: list[float]) -> Column:
 
 @dataclass
 class UrlModel:
-    """trees: for each a list of (feature, class) splits by level, and the value of each leaf; suffixes: block rates of host suffixes."""
+    """trees: for each a list of (feature, class) splits by level, and the value of each leaf; suffixes: block rates of host suffixes.
+
+    There are at most as many suffixes as labelled urls that the model is trained from, so their table is broadcast.
+    """
 
     prior: float
     suffixes: dict[str, float] = field(default_factory=dict)
@@ -99,10 +105,14 @@ class UrlModel:
 
     def classes(self, rows: DataFrame) -> DataFrame:
         """rows (url, host, path, ...) with a column for each feature's class; in two steps, so that no feature is worked out twice."""
-        rate = F.lit(self.suffix_default)
-        if self.suffixes:
-            known = F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv])
-            rate = F.coalesce(known[suffix_of(F.col("host"))], rate)
+        taken = unused("suffix", rows.columns)
+        table = json.dumps([{"s": k, "r": v} for k, v in sorted(self.suffixes.items())])
+        known = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(table), "array<struct<s:string,r:double>>")).alias("x")).select(F.col("x.s").alias(taken), F.col("x.r").alias(f"{taken}_known"))
+        rows = rows.join(F.broadcast(known), suffix_of(F.col("host")) == F.col(taken), "left").withColumn(f"{taken}_known", F.coalesce(f"{taken}_known", F.lit(self.suffix_default)))
+        return self._classes(rows, F.col(f"{taken}_known")).drop(taken, f"{taken}_known")
+
+    @staticmethod
+    def _classes(rows: DataFrame, rate: Column) -> DataFrame:
         found = _features(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"), rate)
         return rows.withColumns(found).withColumns({k: _class_of(F.col(k), FEATURES[k]) for k in found})
 
@@ -166,22 +176,29 @@ def boost(rows: list[tuple], n: list[int], blocked: list[int], prior: float, rou
     return trees
 
 
-def train(urls: DataFrame, *, limit: int = 50_000, suffix_limit: int = 200, rounds: int = 8, depth: int = 3, rate: float = 0.4, ridge: float = 1.0) -> UrlModel:
-    """Boosted symmetric trees from labelled urls (url, host, path, blocked 0 or 1), at most `limit` of them by a hash of the url.
+#: Parts of the labelled urls: in training, a url's suffix has the block rate of the other parts, so that no url tells its own label.
+FOLDS = 4
+
+
+def train(urls: DataFrame, *, limit: int = 50_000, rounds: int = 8, depth: int = 3, rate: float = 0.4, ridge: float = 1.0) -> UrlModel:
+    """Boosted symmetric trees from labelled urls (url, host, path, blocked 0 or 1), at most `limit` different ones by a hash of the url.
 
-    Block rates are kept for the `suffix_limit` commonest host suffixes. Without urls the model is a constant.
+    Without urls the model is a constant.
     """
-    some = urls.orderBy(F.xxhash64("url"), "url", "blocked").limit(limit)
-    some = some.groupBy("url", "host", "path").agg(F.count("*").alias("n"), F.sum("blocked").alias("blocked")).persist()
+    some = urls.groupBy("url", "host", "path").agg(F.count("*").alias("n"), F.sum("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(limit)
+    some = some.select("*", suffix_of(F.col("host")).alias("suffix"), F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).alias("fold")).persist()
     try:
         n, blocked = some.agg(F.sum("n"), F.sum("blocked")).first()
         if not n:
             return UrlModel(0.0)
         share = min(max(blocked / n, 0.01), 0.99)
-        top = some.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(suffix_limit).collect()
-        model = UrlModel(math.log(share / (1 - share)), {r["suffix"]: round((r["b"] + 4 * share) / (r["n"] + 4), 6) for r in top}, share)
-        table = model.classes(some).groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+        smoothed = lambda b, k: (b + 4 * share) / (k + 4)
+        whole = some.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_b"))
+        part = some.groupBy("suffix", "fold").agg(F.sum("n").alias("own_n"), F.sum("blocked").alias("own_b"))
+        rows = some.join(whole, "suffix").join(part, ["suffix", "fold"]).withColumn("others", smoothed(F.col("all_b") - F.col("own_b"), F.col("all_n") - F.col("own_n")))
+        table = UrlModel._classes(rows, F.col("others")).groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
         rows = sorted(tuple(r) for r in table.collect())  # at most `limit` rows of small numbers
+        model = UrlModel(math.log(share / (1 - share)), {r["suffix"]: round(smoothed(r["all_b"], r["all_n"]), 6) for r in whole.collect()}, share)  # likewise
         model.trees = boost([r[: len(FEATURES)] for r in rows], [r[-2] for r in rows], [r[-1] for r in rows], model.prior, rounds, depth, rate, ridge)
         return model
     finally:
