@@ -66,11 +66,86 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(docs, forest, threshold).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup)}
+# What SQL can express of operators whose own results hold more: rules, base counts, places and spans, the round trip.
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", F.coalesce("first_word", F.lit(-1)).alias("first_word"), F.coalesce("last_word", F.lit(-1)).alias("last_word"), "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).select("doc_id", *quality_rules.COUNTS[:5], "base_failed")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
+}
 
 _SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+
+
+def _rule_sql() -> str:
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    return "CASE " + " ".join(f"WHEN {fits(host, path)} THEN '{host}{path}'" for host, path, _ in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, least: int, group: int) -> str:
+    """(doc_id, kind, rank, a, z) of the matches of a pattern whose group is long enough: between matches stand the parts of the split text."""
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS a,
+            unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(v, lambda x: length(x) >= {least})) AS good
+        FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v, regexp_split_to_array(text, {p}) AS b FROM d WHERE regexp_matches(text, {p}))"""
+
+
+_PLACES = " || ".join(
+    f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: w[i:i + {len(words) - 1}] = {words}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for phrase, label in licenses.PHRASES.items() for words in [phrase.split()]
+)
 
 ORACLE_SQL = {
+    "op6_minhash": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * m >= 75 * (na + nb - m)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+        c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON id = doc_id""",
+    "url_rules": rf"""
+        WITH h AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+        SELECT page_id, host, path, {_rule_sql()} AS rule FROM h""",
+    "secret_base_spans": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        s AS ({_spans_sql("assign", 1, secrets.ASSIGN.pattern, secrets.MIN_ASSIGN, 2)} UNION ALL {_spans_sql("access", 2, secrets.ACCESS.pattern, secrets.MIN_ACCESS, 0)} UNION ALL {_spans_sql("hex", 3, secrets.HEX.pattern, secrets.MIN_HEX, 0)}),
+        f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS joined FROM s WHERE good GROUP BY 1)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256 FROM d LEFT JOIN f USING (doc_id)""",
+    "license_phrases": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), f AS (SELECT doc_id, len(w) AS n_words, {_PLACES} AS p FROM d)
+        SELECT doc_id, n_words, len(p) AS n_base, coalesce(list_min(list_transform(p, lambda x: x.at)), -1) AS first_word, coalesce(list_max(list_transform(p, lambda x: x.at)), -1) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels FROM f""",
+    "quality_counts": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS l FROM d),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM x WHERE len(w) >= 5),
+        t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS k FROM t) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed FROM x LEFT JOIN r USING (doc_id)""",
+    "bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
     "op10_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS body FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n_chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
