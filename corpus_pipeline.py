@@ -1,16 +1,17 @@
 """The corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing; each stage reads what the one before kept.
 
-Null texts count as empty ones and fail the quality rules. Rows without a doc_id pass the stages that compare documents, and their secrets are found
-by the fixed patterns. Empty tables give empty tables; columns beside doc_id and text are carried along.
+Null texts count as empty ones and fail the quality rules. The stages that compare documents tell rows apart by a number of their own where a doc_id is
+missing or repeated, so such rows are judged by their texts like all others, and go only if their text is that of a row that stays, or nearly so.
+Empty tables give empty tables; columns beside doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcodec.llm import exact_dedup, minhash, packing, quality_rules, secrets, tokens
-from semcodec.llm.common import materialize
+from semcodec.llm.common import columns, drop, materialize, numbered, temporary_tables, without
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,38 +20,31 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs, forest, threshold)
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """Of rows that repeat a doc_id the one with the longest text stays; usually there are none, and nothing is shuffled."""
-    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if many.isEmpty():
-        return docs
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), F.desc("text"))
-    repeated = docs.join(many, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return docs.join(many, "doc_id", "left_anti").unionByName(repeated.select(*docs.columns))
+def _by_number(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), "text")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of ids; rows without a doc_id can't be told apart and stay."""
-    marked = ids.where("doc_id is not null").withColumn("_kept", F.lit(True))
-    return docs.join(marked, "doc_id", "left").where("_kept or doc_id is null").select(*docs.columns)
+def _deduplicated(docs: DataFrame, find) -> DataFrame:
+    """docs without the rows that find(doc_id, text) doesn't keep."""
+    rows, key = numbered(docs)
+    return without(rows, key, find(_by_number(rows, key)).where("not kept").select("doc_id")).select(*columns(docs))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, and one of rows that repeat a doc_id."""
-    docs = _one_row_each(docs)
-    return _kept(docs, exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"))
+    """One row of each group of equal texts stays."""
+    return _deduplicated(docs, exact_dedup.exact_duplicates)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-copies stays."""
-    docs = _one_row_each(docs)
-    return _kept(docs, minhash.near_duplicates(docs).where("kept").select("doc_id"))
+    return _deduplicated(docs, minhash.near_duplicates)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced in the text; every document stays."""
-    docs = _one_row_each(docs)
-    clean = secrets.redacted(docs, secrets.scan(docs))
+    rows, key = numbered(docs)
+    found = secrets.scan(rows.select(F.col(key).alias("doc_id"), "text", "source", "lang"))
+    clean = secrets.redacted(rows, found, key=key).select(*columns(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
@@ -68,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary_tables() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        if name != STAGES[0][0]:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
