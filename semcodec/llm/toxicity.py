@@ -1,14 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams with its ends marked (n from LEAST to MOST, and the whole word), hashed to a fixed number of
-embeddings; unseen misspellings share most n-grams with the words that they stand for. A text is the mean of its words' vectors, and
-embeddings and softmax are fitted together on at most `sample` labelled rows (the executors count the words of their whole texts, and the
-driver gathers the counts). As the softmax is linear, it reduces after fitting to
-one number for each n-gram bucket, so scoring sums numbers of hashed n-grams over the text's bytes, in numpy, without a
-shuffle.
-
-A mean over a long text hides a few toxic words, so the text's score is a logistic function, fitted on the same rows, of three
-summaries of its words' numbers: their mean, the sum of what exceeds a limit, and the largest one.
+embeddings; its vector is their mean. A text is the mean of its words' vectors, times SCALE, and its score is the linear softmax's share of label 1.
+Embeddings and softmax are fitted together, so unseen misspellings share most n-grams, and their vectors, with the words that they stand for.
+
+The fit sees at most `sample` labelled rows: the executors count the words of their whole texts, and the driver gathers the counts. Only
+n-grams whose share of toxic texts is off by more than chance (`strength` standard deviations) get an embedding; the others stand at the origin, which
+is what keeps a few toxic words visible in the mean of a long text (README.md has figures). As the softmax is linear, the model reduces after
+fitting to one number for each n-gram bucket, so scoring averages numbers of hashed n-grams over the text's bytes, in numpy, without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ from . import kernel
 from .common import held_out_rows, labelled_features, slices, workers_see_package
 
 LEAST, MOST, BUCKET_BITS, DIMENSIONS = 3, 6, 18, 4
+#: Factor of the mean of a text's word vectors.
+SCALE = 100.0
 #: What a fit takes at once: words when their n-grams are made, n-grams of texts when they are counted.
 WORDS_AT_ONCE, GRAMS_AT_ONCE = 20_000, 1 << 20
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if kernel.ALNUM[b] else 32 for b in range(256))
@@ -55,34 +56,19 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Toxicity:
-    """value: a number for each bucket; limit: of a word's number; weights: of the summaries, the last of them constant."""
+    """value: a number for each bucket, of which a text's mean of means is the softmax's difference of logits; bias: what is added to it."""
 
     value: np.ndarray
-    limit: float
-    weights: np.ndarray
+    bias: float
 
-    def word_values(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         bucket, word, first = subwords(buf, off)
         n = int(first[-1])
-        return np.bincount(word, self.value[bucket], n) / np.maximum(np.bincount(word, minlength=n), 1), first
-
-    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        values, first = self.word_values(buf, off)
-        return 1 / (1 + np.exp(-summaries(values, first, self.limit) @ self.weights))
-
-
-def summaries(values: np.ndarray, first: np.ndarray, limit: float, counts: np.ndarray | None = None) -> np.ndarray:
-    """Of the words of each text, which begin at `first`; counts: how often a text has each of them, once if not given."""
-    n = np.diff(first)
-    times = np.ones(len(values)) if counts is None else counts
-    sums = np.zeros((len(values) + 1, 3))
-    np.cumsum(np.stack([values * times, np.maximum(values - limit, 0) * times, times], axis=1), axis=0, out=sums[1:])
-    mean, excess, total = ((sums[first[1:]] - sums[first[:-1]]).T).copy()
-    mean /= np.maximum(total, 1)
-    top = np.zeros(len(n))
-    if len(values):
-        top[n > 0] = np.maximum.reduceat(values, first[:-1][n > 0])
-    return np.stack([mean, np.log1p(np.maximum(excess, 0)), np.log1p(np.maximum(top, 0)), np.ones(len(n))], axis=1)
+        words = np.bincount(word, self.value[bucket], n) / np.maximum(np.bincount(word, minlength=n), 1)
+        sums = np.zeros(n + 1)
+        np.cumsum(words, out=sums[1:])
+        mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
+        return 1 / (1 + np.exp(-np.clip(self.bias + SCALE * mean, -700, 700)))
 
 
 def _adam(rounds: int, rate: float, values: list[np.ndarray], gradient) -> None:
@@ -101,83 +87,90 @@ def word_counts(column: pa.Array) -> list[pa.Array]:
     return [pa.array([b" ".join(x) for x in found], pa.binary()), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
 
 
-def train(bags: list[bytes], counts: np.ndarray, y: np.ndarray, *, rounds: int = 60, rate: float = 0.05, strength: float = 4.0, seed: int = 3) -> Toxicity:
-    """Fits embeddings, softmax and the summaries' weights; without both labels every score is the share of label 1.
+class Bags:
+    """Distinct words of the texts of a fit, the n-grams of each, and which texts have them.
 
     bags: each text's distinct words, as word_counts() gives them; counts: their numbers, end to end.
     """
+
+    def __init__(self, bags: list[bytes], counts: np.ndarray):
+        number: dict[bytes, int] = {}
+        own = [np.array([number.setdefault(w, len(number)) for w in bag.split()], np.int32) for bag in bags]
+        self.texts, self.words = len(bags), len(number)
+        self.word_of = np.concatenate(own) if own else np.zeros(0, np.int32)
+        self.text_of = np.repeat(np.arange(self.texts, dtype=np.int32), [len(x) for x in own])
+        self.times = counts.astype(np.float32)
+        every, grams, sizes = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(every), WORDS_AT_ONCE):
+            part = b" ".join(every[lo : lo + WORDS_AT_ONCE])
+            bucket, word, first = subwords(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            grams.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(word, minlength=first[-1]))
+        self.gram, self.size = np.concatenate(grams), np.concatenate(sizes)
+
+    def texts_with(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many texts, and how many of label 1, have an n-gram of each bucket; GRAMS_AT_ONCE n-grams of whole texts at a time."""
+        begins, ends = np.cumsum(self.size) - self.size, np.searchsorted(self.text_of, np.arange(self.texts), "right")
+        held = np.append(0, np.cumsum(self.size[self.word_of]))[ends]  # n-grams up to each text's end
+        every, toxic, lo = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64), 0
+        while lo < self.texts:
+            hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + GRAMS_AT_ONCE, "right")))
+            some = slice(ends[lo - 1] if lo else 0, ends[hi - 1])
+            word, count = self.word_of[some], self.size[self.word_of[some]]
+            at = np.arange(count.sum()) + np.repeat(begins[word] - np.cumsum(count) + count, count)
+            pairs = np.unique(np.repeat(self.text_of[some].astype(np.int64), count) << BUCKET_BITS | self.gram[at])
+            bucket = pairs & ((1 << BUCKET_BITS) - 1)
+            every += np.bincount(bucket, minlength=1 << BUCKET_BITS)
+            toxic += np.bincount(bucket[y[pairs >> BUCKET_BITS] == 1], minlength=1 << BUCKET_BITS)
+            lo = hi
+        return every, toxic
+
+
+def train(bags: list[bytes], counts: np.ndarray, y: np.ndarray, *, rounds: int = 100, rate: float = 0.05, ridge: float = 3e-4, strength: float = 3.0, least: int = 4, seed: int = 3) -> Toxicity:
+    """Fits embeddings and softmax; without both labels every score is the share of label 1.
+
+    bags, counts: as for Bags. Embeddings are for n-grams that `least` texts or more have.
+    """
     share = float(np.mean(y)) if len(y) else 0.0
     if share in (0.0, 1.0):
-        return Toxicity(np.zeros(1 << BUCKET_BITS), 0.0, np.array([0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    # distinct words, their n-grams, and which texts have them (a word counts once in a text)
-    number: dict[bytes, int] = {}
-    own = [np.array([number.setdefault(w, len(number)) for w in bag.split()], np.int64) for bag in bags]
-    word_of, text_of = np.concatenate(own), np.repeat(np.arange(len(y)), [len(x) for x in own])
-    every, grams, sizes = list(number), [], []
-    for lo in range(0, len(every), WORDS_AT_ONCE):
-        part = b" ".join(every[lo : lo + WORDS_AT_ONCE])
-        bucket, word, first = subwords(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
-        grams.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
-        sizes.append(np.bincount(word, minlength=first[-1]))
-    gram, size = np.concatenate(grams), np.concatenate(sizes)
-    gram_word = np.repeat(np.arange(len(every)), size)
-    n_grams = size.astype(np.float64)
-    n_words = np.maximum(np.bincount(text_of, minlength=len(y)), 1).astype(np.float64)
-
-    # only n-grams whose share of toxic texts is off by more than chance are fitted; the others keep the value 0
-    begins, ends = np.cumsum(size) - size, np.searchsorted(text_of, np.arange(len(y)), "right")
-    texts_with, toxic_with = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    held = np.append(0, np.cumsum(size[word_of]))[ends]  # n-grams up to each text's end
-    lo = 0
-    while lo < len(y):  # some whole texts at once
-        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + GRAMS_AT_ONCE, "right")))
-        some = slice(ends[lo - 1] if lo else 0, ends[hi - 1])
-        count = size[word_of[some]]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[word_of[some]], count)
-        pairs = np.unique(np.repeat(text_of[some], count) << BUCKET_BITS | gram[at])
-        bucket, of = pairs & ((1 << BUCKET_BITS) - 1), pairs >> BUCKET_BITS
-        texts_with += np.bincount(bucket, minlength=1 << BUCKET_BITS)
-        toxic_with += np.bincount(bucket, y[of], 1 << BUCKET_BITS)
-        lo = hi
-    off_chance = (toxic_with - share * texts_with) / np.sqrt(share * (1 - share) * texts_with + 1e-9)
-    told = (np.abs(off_chance) >= strength) & (texts_with >= 4)
-    fits = told[gram]
-    fit_gram, fit_word = gram[fits], gram_word[fits]
+        return Toxicity(np.zeros(1 << BUCKET_BITS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    own = Bags(bags, counts)
+    every, toxic = own.texts_with(y)
+    off_chance = (toxic - share * every) / np.sqrt(share * (1 - share) * every + 1e-9)
+    told = (np.abs(off_chance) >= strength) & (every >= least)
+
+    # from here on: words with such an n-gram, and those n-grams
+    fits = np.flatnonzero(told[own.gram])
+    fit_words, word = np.unique(np.repeat(np.arange(own.words, dtype=np.int32), own.size)[fits], return_inverse=True)
+    buckets, gram = np.unique(own.gram[fits], return_inverse=True)
+    number = np.full(own.words, -1)
+    number[fit_words] = np.arange(len(fit_words))
+    here = number[own.word_of] >= 0
+    word_of, text_of, times = number[own.word_of[here]], own.text_of[here], own.times[here].astype(np.float64)
+    n_grams = own.size[fit_words].astype(np.float64)
+    scale = SCALE / np.maximum(np.bincount(own.text_of, own.times, own.texts), 1)
 
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.01, (DIMENSIONS, 1 << BUCKET_BITS)) * told
+    table = rng.normal(0, 0.01, (DIMENSIONS, len(buckets)))
     softmax = rng.normal(0, 1.0, (DIMENSIONS, 2))
     bias = np.log(np.array([1 - share, share]))
     one_hot = np.stack([1 - y, y], axis=1).astype(np.float64)
     sums = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in values])
-    scale = 1.0 / np.sqrt(n_words)  # a few words weigh more in a long text than in its mean
 
     def gradient():
-        words = sums(fit_word, table[:, fit_gram], len(every)) / n_grams
-        bags = sums(text_of, words[:, word_of], len(y)) * scale
-        logits = bags.T @ softmax + bias
+        words = sums(word, table[:, gram], len(fit_words)) / n_grams
+        means = sums(text_of, words[:, word_of] * times, own.texts) * scale
+        logits = means.T @ softmax + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         miss = (p - one_hot) / len(y)
-        d_words = sums(word_of, (softmax @ miss.T * scale)[:, text_of], len(every)) / n_grams
-        return [sums(fit_gram, d_words[:, fit_word], table.shape[1]) + 1e-6 * table, bags @ miss, miss.sum(axis=0)]
+        d_words = sums(word_of, (softmax @ miss.T * scale)[:, text_of] * times, len(fit_words)) / n_grams
+        return [sums(gram, d_words[:, word], len(buckets)) + ridge * table, means @ miss, miss.sum(axis=0)]
 
     _adam(rounds, rate, [table, softmax, bias], gradient)
-    value = (softmax[:, 1] - softmax[:, 0]) @ table
-    values = np.bincount(gram_word, value[gram], len(every)) / n_grams
-    scale = 1 / max(values.std(), 1e-12)
-    model = Toxicity(value * scale, 0.0, np.zeros(4))
-    values *= scale
-    model.limit = float(np.quantile(values[word_of[y[text_of] == 0]], 0.999)) if (y[text_of] == 0).any() else 0.0
-    x = summaries(values[word_of], np.append(0, ends), model.limit, counts)
-    mean, std = x[:, :-1].mean(axis=0), x[:, :-1].std(axis=0) + 1e-9
-    z = np.concatenate([(x[:, :-1] - mean) / std, x[:, -1:]], axis=1)
-    w = np.zeros(4)
-    for _ in range(50):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-z @ w))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(4), z.T @ (p - y) + 0.5 * w * [1, 1, 1, 0])
-    model.weights = np.append(w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum())
-    return model
+    value = np.zeros(1 << BUCKET_BITS)
+    value[buckets] = (softmax[:, 1] - softmax[:, 0]) @ table
+    return Toxicity(value, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000) -> Toxicity:
