@@ -29,7 +29,7 @@ from .tokens import worker_encoder
 
 SEQUENCE, END_ID = 2048, 0
 #: Pieces of one length that a bucket holds on average at most.
-BUCKET = 20_000
+BUCKET = 1_000
 
 
 def _pieces(path: str, sequence: int, end_id: int, added: tuple[tuple[str, int], ...]):
@@ -40,8 +40,8 @@ def _pieces(path: str, sequence: int, end_id: int, added: tuple[tuple[str, int],
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()])):
-                    ids += end
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    ids = encoder.encode(text.as_py() or "") + end
                     n = len(ids) // 4
                     begins = [0, *range(n % sequence or sequence, n, sequence)]
                     rows += [(doc, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(begins, [*begins[1:], n]))]
@@ -98,13 +98,15 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """
     workers_see_package(pieces.sparkSession)
     total = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length: at most `sequence`
-    most = max((r["n"] for r in total), default=0)
-    buckets = max(1, -(-most // BUCKET))
+    buckets = np.ones(sequence + 1, np.int64)  # by length
+    for r in total:
+        buckets[r["length"]] = -(-r["n"] // BUCKET)
     rows = np.array(plan({r["length"]: r["n"] for r in total}, sequence), np.int64).reshape(-1, 5)
     begins = np.searchsorted(rows[:, 0] * -1, -np.arange(sequence + 2))  # rows fall by length
     ends = np.searchsorted(rows[:, 0] * -1, -np.arange(sequence + 2), "right")
 
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    own = F.element_at(F.array(*[F.lit(int(n)) for n in buckets[1:]]), F.col("length").cast("int"))
+    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), own))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = spread.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
