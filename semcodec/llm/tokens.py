@@ -9,10 +9,6 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: Pieces that a worker remembers; the cache starts anew beyond that.
-CACHED = 150_000
-
-
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
@@ -30,57 +26,6 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
     return tuple((x["content"], x["id"]) for x in found)
 
 
-class PieceEncoder(dict):
-    """Maps a text to its ids as little-endian unsigned 32-bit integers.
-
-    Byte-level BPE splits a text before it merges, and a single space between two other characters always begins a new split
-    together with what follows. So a text may be cut before each such space and the pieces encoded one by one, which
-    are few and recur. A text with other white space beside a space is encoded whole.
-
-    Before that, a text is split at added tokens (the longest of those that begin at one place), and what lies between is encoded on its own.
-    """
-
-    def __init__(self, encode_many, added: tuple[tuple[str, int], ...] = ()):
-        super().__init__()
-        self.encode_many = encode_many
-        self.added = {content: array("I", [number]).tobytes() for content, number in added}
-        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
-
-    @classmethod
-    def of_ranks(cls, path: str, added: tuple[tuple[str, int], ...] = ()) -> "PieceEncoder":
-        """An encoder for a file of base64 tokens and ranks, and for added tokens; other special tokens are ordinary text."""
-        import public_tokenizers
-        import tiktoken
-
-        own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
-        return cls(lambda texts: [array("I", own(x)).tobytes() for x in texts], added)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self._between(texts)
-        parts = [self.splits(text) for text in texts]
-        between = iter(self._between([x for own in parts for x in own[::2]]))
-        return [b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(own)) for own in parts]
-
-    def _between(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHED:
-            self.clear()
-        cut = [text.split(" ") for text in texts]
-        new = set().union(*cut).difference(self)
-        fit = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.update(dict.fromkeys(new - set(fit)))
-        self.update(zip(fit, self.encode_many([" " + p for p in fit])))
-        out: list[bytes | None] = []
-        heads = self.encode_many([pieces[0] for pieces in cut])
-        for pieces, head in zip(cut, heads):
-            rest = list(map(self.__getitem__, pieces[1:]))
-            out.append(None if None in rest or pieces[0][-1:].isspace() else head + b"".join(rest))
-        whole = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(whole, self.encode_many([texts[k] for k in whole])):
-            out[k] = x
-        return out
-
-
 #: Runs of white space from this length on are too long for the library's own splitting, which keeps a state for each character.
 LONG_SPACE = 10_000
 
