@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import codec
 from .operators import align, code, encode, lexicon, search
+from .plans import layers, shared
 from .sources import readers, writers
 
 
@@ -45,8 +46,17 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--corpus", required=True)
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--threshold", type=float, default=0.0)
-    p = sub.add_parser("build")
+    p = sub.add_parser("build", help="a dictionary of seed files and layers; the layers are kept in a cache")
     p.add_argument("output")
+    p.add_argument("--seeds", action="append", default=[], metavar="DOMAIN=FILE")
+    p.add_argument("--code-seeds", action="append", default=[], metavar="DOMAIN=FILE")
+    p.add_argument("--sentiment", help="lines of word, sense, positive, negative")
+    p.add_argument("--frequencies", help="lines of word, frequency")
+    p.add_argument("--irregular", help="lines of form, lemma")
+    p.add_argument("--cache", help="the layers' folder; the shared folder if not given")
+    p.add_argument("--invalidate", action="append", default=[], help="a layer to build anew, or all")
+    p.add_argument("--no-cache", action="store_true")
+    p.add_argument("--keep-relations", help="a dictionary whose relations are kept")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("semcodec").getOrCreate()
     if args.command == "encode":
@@ -70,9 +80,27 @@ def main(argv: list[str] | None = None) -> int:
         for row in found.select(F.to_json(F.struct("id", "score", "content"))).collect():
             print(row[0])
     else:
-        writers.dictionary_json(_dictionary(spark, args), args.output)
+        _build(spark, args)
     return 0
 
 
+def _build(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Says of each layer whether it was built or found."""
+    pairs = lambda given: [tuple(x.split("=", 1)) for x in given]
+    seeds = readers.seed_files(spark, pairs(args.seeds), pairs(args.code_seeds)) if args.seeds or args.code_seeds else lexicon.sample(spark)
+    table = lambda path, schema: spark.read.schema(schema).csv(path, sep="\t")
+    sources = {}
+    if args.sentiment:
+        sources["sentiment"] = (table(args.sentiment, "word string, sense int, positive double, negative double"), layers.sentiment_layer)
+    if args.frequencies:
+        sources["formality"] = (table(args.frequencies, "word string, zipf double"), layers.formality_layer)
+    cache = None if args.no_cache else layers.LayerCache(spark, args.cache or f"{shared.root(spark)}/semcodec-layers")
+    build = layers.Build(cache, seeds, sources, tuple(args.invalidate))
+    out = build.run(table(args.irregular, "word string, lemma string") if args.irregular else None)
+    writers.dictionary_json(out, args.output, readers.dictionary_json(spark, args.keep_relations) if args.keep_relations else None)
+    for name, hit in build.hits.items():
+        print(f"{name}: {'cached' if hit else 'built'}")
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -46,6 +46,10 @@ class LayerCache:
         rows.write.mode("overwrite").parquet(self.path(layer, key))
         return self.spark.read.parquet(self.path(layer, key))
 
+    def forget(self, layer: str, key: str) -> None:
+        fs, where = self._fs(self.path(layer, key))
+        fs.delete(where, True)
+
     def clear(self) -> None:
         fs, where = self._fs(self.root)
         fs.delete(where, True)
@@ -92,18 +96,28 @@ def merge(seeds: DataFrame, derived: DataFrame | None = None, sentiment: DataFra
 
 @dataclass
 class Build:
-    """The build's settings: seeds, layers to be cached, relation edges."""
+    """The build's settings: seeds, layers to be cached, relation edges.
+
+    invalid: layers to be built anew though they are there ("all" for every one); without a cache, layers are worked out and not kept.
+    """
 
-    cache: LayerCache
+    cache: LayerCache | None
     seeds: DataFrame
     layers: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
+    invalid: tuple[str, ...] = ()
     hits: dict[str, bool] = field(default_factory=dict)
 
     def layer(self, name: str) -> DataFrame | None:
         if name not in self.layers:
             return None
         source, make = self.layers[name]
-        out, self.hits[name] = self.cache.get_or_build(name, rows_hash(source), lambda: make(source))
+        if self.cache is None:
+            self.hits[name] = False
+            return make(source)
+        key = rows_hash(source)
+        if name in self.invalid or "all" in self.invalid:
+            self.cache.forget(name, key)
+        out, self.hits[name] = self.cache.get_or_build(name, key, lambda: make(source))
         return out
 
     def run(self, irregular: DataFrame | None = None, edges: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import codec
 from ..functions.constants import DOMAINS
 from ..operators.align import Profile
 from ..operators.lexicon import COLUMNS, RELATED, from_seeds, overlay
+from ..plans import shared
 
 _ENTRY = "struct<d:string,c:int,n:int,s:struct<p:int,f:int,i:int>,syn:string,rel:string,trel:string>"
 _FILE = f"struct<entries:map<string,{_ENTRY}>,code_entries:map<string,{_ENTRY}>>"
@@ -38,7 +39,7 @@ def _related(raw: Column) -> Column:
 
 
 def dictionary_json(spark: SparkSession, path: str) -> DataFrame:
-    """A dictionary file of entries and code_entries {word: {d, c, n, s, syn, rel or trel}}; unknown domains are dropped."""
+    """A dictionary file, or a folder of such, of entries and code_entries {word: {d, c, n, s, syn, rel or trel}}; unknown domains are dropped."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _FILE).alias("f"))
     parts = [raw.select(F.lit(kind).alias("kind"), F.explode(f"f.{name}").alias("word", "e")) for kind, name in (("text", "entries"), ("code", "code_entries"))]
     rows = parts[0].unionByName(parts[1])
@@ -55,6 +56,19 @@ def dictionaries(spark: SparkSession, base: str, extensions: list[str]) -> DataF
     return overlay(dictionary_json(spark, base), *[dictionary_json(spark, e) for e in extensions])
 
 
+#: Files of a dictionary folder: the base, what is patched over it, and extensions that are taken in the order of their names.
+BASE_FILE, PATCH_FILE, EXTENSION_FILES = "codebook.json", "codebook.patches.json", "extensions/auto/*.json"
+
+
+def default_dictionary(spark: SparkSession, folder: str, *, patches: bool = True) -> DataFrame:
+    """The base of a dictionary folder, then its patches, then its extensions; what isn't there or isn't valid JSON adds nothing, but a base must be there."""
+    folder = folder.rstrip("/")
+    if not shared.exists(spark, f"{folder}/{BASE_FILE}"):
+        raise FileNotFoundError(f"{folder}/{BASE_FILE}")
+    more = [f"{folder}/{PATCH_FILE}"] if patches and shared.exists(spark, f"{folder}/{PATCH_FILE}") else []
+    return overlay(dictionary_json(spark, f"{folder}/{BASE_FILE}"), *[dictionary_json(spark, f) for f in [*more, *shared.listed(spark, f"{folder}/{EXTENSION_FILES}")]])
+
+
 def seed_files(spark: SparkSession, text_files: list[tuple[str, str]], code_files: list[tuple[str, str]]) -> DataFrame:
     """A dictionary of seed files, as (domain, path) in order of precedence: each has a list named SEEDS of (category, concept, [words]).
 
@@ -117,11 +131,24 @@ def relatedness_pairs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.get("c", F.lit(1)).alias("a"), F.get("c", F.lit(2)).alias("b"), F.trim(F.get("c", F.lit(3))).try_cast("double").alias("gold")).where("gold is not null")
 
 
-def clone_corpus(spark: SparkSession, functions: str, pairs: str, *, least: int = 200, most: int = 1500) -> DataFrame:
-    """(id_a, id_b, label, source_a, source_b) of labelled pairs whose functions both have `least` to `most` characters."""
+def clone_corpus(spark: SparkSession, functions: str, pairs: str, *, least: int = 200, most: int = 1500, first: int | None = None) -> DataFrame:
+    """(id_a, id_b, label, source_a, source_b) of labelled pairs whose functions both have `least` to `most` characters.
+
+    first: so many pairs of each label at most, in the order of the file.
+    """
     f = spark.read.schema("idx string, func string").json(functions).where(F.length("func").between(least, most))
-    p = spark.read.schema("id_a string, id_b string, label int").csv(pairs, sep="\t")
-    return p.join(f.select(F.col("idx").alias("id_a"), F.col("func").alias("source_a")), "id_a").join(f.select(F.col("idx").alias("id_b"), F.col("func").alias("source_b")), "id_b")
+    p = spark.read.schema("id_a string, id_b string, label int").csv(pairs, sep="\t").withColumn("_line", F.monotonically_increasing_id())
+    out = p.join(f.select(F.col("idx").alias("id_a"), F.col("func").alias("source_a")), "id_a").join(f.select(F.col("idx").alias("id_b"), F.col("func").alias("source_b")), "id_b")
+    if first is not None:
+        out = out.where("label = 1").orderBy("_line").limit(first).union(out.where("label = 0").orderBy("_line").limit(first))
+    return out.select("id_a", "id_b", "label", "source_a", "source_b")
+
+
+def balanced_pairs(pairs: DataFrame, n: int = 1500, seed: int = 0) -> DataFrame:
+    """n pairs (id_a, id_b, label) at most, half of them of each label, in an order shuffled by seed: a hash, so the choice doesn't depend on partitions."""
+    shuffled = F.xxhash64(F.lit(seed), "id_a", "id_b")
+    half = lambda label: pairs.where(F.col("label") == label).orderBy(shuffled, "id_a", "id_b").limit(n // 2)
+    return half(1).union(half(0)).orderBy(F.xxhash64(F.lit(seed + 1), "id_a", "id_b"), "id_a", "id_b")
 
 
 def code_search_records(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
