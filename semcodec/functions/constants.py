@@ -34,6 +34,18 @@ FORMAL = (
     "notwithstanding pursuant accordingly henceforth respectively"
 ).split()
 
+# --- fixed values: patterns of words and lexemes ---------------------------------------------------------------------
+PLAIN_WORD = r"[A-Za-z][A-Za-z'-]*[A-Za-z]|[A-Za-z]"
+CONTEXT_WORD = r"[a-z']+"
+LEXEME = r"""(?s)#[^\n]*|//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\b\d+(?:\.\d+)?\b|[A-Za-z_][A-Za-z0-9_]*|[+\-*/%<>=!&|^~?:;,.\(\)\[\]\{\}]"""
+
+# --- fixed values: endings that a lemma is looked for without, and what takes their place; of nouns, verbs, adjectives --
+DETACHED = [
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+    ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""),
+    ("er", ""), ("est", ""), ("er", "e"), ("est", "e"),
+]
+
 # --- fixed values: relations and scoring -----------------------------------------------------------------------------
 RELATIONS = "RELATED SYNONYM ISA PART PROPERTY USED_FOR CAUSES ENTAILS CONTEXT ANTONYM ROLE ASSOCIATED TOPIC".split()
 RELATION_ALIASES = {
@@ -84,7 +96,7 @@ FRAMES = [
     ("tree_insert", "TC329", ["insert add", "tree node bst binary"]),
 ]
 
-# --- fixed values: source code ---------------------------------------------------------------------------------------
+# --- fixed values: source code: file endings, keywords, abbreviations, patterns ---------------------------------------------------------------------------------------
 EXTENSIONS = {
     "python": "py pyx pyi", "javascript": "js mjs cjs", "typescript": "ts tsx", "rust": "rs", "go": "go", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp hh",
 }
@@ -141,7 +153,7 @@ ABBREVIATIONS = {
     "cli": "interface", "ui": "interface", "ux": "interface", "id": "identifier", "uid": "identifier", "uuid": "identifier", "ws": "websocket", "ip": "address",
     "dir": "directory", "path": "path", "ext": "extension",
 }
-#: Patterns of lower-cased source, in RE2's syntax too.
+# --- fixed values: CODE_PATTERNS, patterns of lower-cased source, in RE2's syntax too ----------------------------------
 CODE_PATTERNS = {
     "async-await": r"\b(async|await)\b",
     "error-handling": r"\b(try|catch|except|raise|throw|panic|recover|finally|rescue)\b",

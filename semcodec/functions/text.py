@@ -8,11 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .codec import lookup_map
-from .constants import ABBREVIATIONS, CODE_PATTERNS, EXTENSIONS, FORMAL, INTENSITY, KEYWORDS, NEGATIONS, STOP_WORDS
+from .constants import ABBREVIATIONS, CODE_PATTERNS, CONTEXT_WORD, DETACHED, EXTENSIONS, FORMAL, INTENSITY, KEYWORDS, LEXEME, NEGATIONS, PLAIN_WORD, STOP_WORDS
 
-PLAIN_WORD = r"[A-Za-z][A-Za-z'-]*[A-Za-z]|[A-Za-z]"
-CONTEXT_WORD = r"[a-z']+"
-LEXEME = r"""(?s)#[^\n]*|//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\b\d+(?:\.\d+)?\b|[A-Za-z_][A-Za-z0-9_]*|[+\-*/%<>=!&|^~?:;,.\(\)\[\]\{\}]"""
 _VOWELS = "aeiou"
 
 
@@ -166,6 +163,12 @@ def variants(word: Column, pos: Column) -> Column:
     return F.when(looks_inflected(word), none).otherwise(F.filter(F.array_compact(F.coalesce(forms, none)), lambda v: v != word))
 
 
+def lemma_candidates(word: Column) -> Column:
+    """A word, and what it may be an inflection of by its ending: of nouns, then verbs, then adjectives."""
+    ends = [F.when(word.endswith(end) & (F.length(word) > len(end) + 1), F.concat(_cut(word, len(end)), F.lit(new))) for end, new in DETACHED]
+    return F.array_distinct(F.array_compact(F.array(word, *ends)))
+
+
 def formality_from_frequency(zipf: Column) -> Column:
     return F.when(zipf >= 5, 0).when(zipf >= 4, 1).when(zipf >= 3, 2).otherwise(3)
 

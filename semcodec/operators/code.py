@@ -28,8 +28,8 @@ def encode_code(sources: DataFrame, dictionary: DataFrame, id_column: str = "doc
     lex = lexemes(sources.select(id_column, F.col(column).alias("_source"), F.col(language).alias("_language")), "_source").where(F.col("kind").isin("string", "identifier"))
     lex = lex.withColumn("keyword", (F.col("kind") == "identifier") & text.is_keyword(F.col("token"), F.col("_language")))
     table = lexicon.prepared(dictionary)
-    code = lexicon.joinable(table.where("kind = 'code'").select(F.col("key").alias("_ck"), F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("_c")))
-    plain = lexicon.joinable(table.where("kind = 'text'").select(F.col("key").alias("_tk"), F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("_t")))
+    code = lexicon.joinable(table, table.where("kind = 'code'").select(F.col("key").alias("_ck"), F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("_c")))
+    plain = lexicon.joinable(table, table.where("kind = 'text'").select(F.col("key").alias("_tk"), F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("_t")))
 
     names = lex.where("kind = 'identifier'")
     parts = F.when(F.col("keyword"), F.array("token")).otherwise(text.split_identifier(F.col("token")))

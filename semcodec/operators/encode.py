@@ -42,7 +42,7 @@ def words_of(docs: DataFrame, column: str, context: bool = True) -> DataFrame:
 
 def token_rows(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """words with the token of each (null for unknown words); dictionary as from with_variants()."""
-    side = lexicon.joinable(dictionary.where("kind = 'text'").select("key", F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("e")))
+    side = lexicon.joinable(dictionary, dictionary.where("kind = 'text'").select("key", F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("e")))
     rows = words.join(side, words["word"] == side["key"], "left")
     e = F.col("e")
     shade = codec.in_context(codec.word_shade(e["word"], e["polarity"], e["formality"], e["intensity"]), F.col("level"), F.col("negated"), F.col("formal"))

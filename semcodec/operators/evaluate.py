@@ -6,12 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _average_rank(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """rows with the mean rank of each value: counts by value first, so that the ordered window is over distinct values only."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(column).alias("_v"), (before + (F.col("_n") + 1) / 2.0).alias(out))
-    return rows.join(ranks, rows[column].eqNullSafe(ranks["_v"])).drop("_v")
+#: Ranges of values that are ranked apart, each in a task of its own.
+RANGES = 64
+
+
+def _before(rows: DataFrame, order: list[str], weight: str, out: str, by: str | None = None) -> DataFrame:
+    """rows with the sum of `weight` over all rows before them in `order`, whose first column is a number; within each value of `by`, a few numbers.
+
+    Quantiles cut the rows into ranges; a range's rows are summed in order within a task, on top of the sums of the ranges before, which are RANGES numbers.
+    """
+    cuts = sorted({c for c in (rows.agg(F.percentile_approx(order[0], [k / RANGES for k in range(1, RANGES)])).first()[0] or [])})
+    own = F.col(by) if by else F.lit(0)
+    rows = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0))
+    sums: dict[int, dict[int, int]] = {}
+    for group, k, n in rows.groupBy(own.alias("_by"), "_range").agg(F.sum(weight)).collect():
+        sums.setdefault(group, {})[k] = n
+    starts = [F.lit(x) for group, own_sums in sums.items() for k in range(len(cuts) + 1) for x in (f"{group} {k}", sum(own_sums.get(j, 0) for j in range(k)))]
+    start = F.create_map(*starts)[F.concat_ws(" ", own.cast("string"), F.col("_range").cast("string"))] if starts else F.lit(0)
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(own, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(out, inside + start).drop("_range")
+
+
+def _average_rank(rows: DataFrame, column: str, out: str, by: str | None = None) -> DataFrame:
+    """rows with the mean rank of each value (within each value of `by`): counts by value first, so that only distinct values are put in order."""
+    keys = [column, *([by] if by else [])]
+    counts = _before(rows.groupBy(*keys).agg(F.count("*").alias("_n")), [column], "_n", "_before", by)
+    ranks = counts.select(*[F.col(c).alias(f"_v{k}") for k, c in enumerate(keys)], (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
+    same = F.lit(True)
+    for k, c in enumerate(keys):
+        same = same & rows[c].eqNullSafe(ranks[f"_v{k}"])
+    return rows.join(ranks, same).drop(*[f"_v{k}" for k in range(len(keys))])
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -75,17 +99,13 @@ def histogram(rows: DataFrame, column: str, *, bins: int | None = None, low: flo
 
 
 def quartiles(rows: DataFrame, gold: str, tie: str, a: str) -> DataFrame:
-    """(quartile, n, rho): correlation within quarters of the rows by gold; quarter q holds ranks q*n//4 up to (q+1)*n//4.
-
-    For evaluation sets: the ranking is one ordered window.
-    """
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(gold, tie)) - 1
-    rows = rows.withColumns({"_n": n, "_at": at})
-    q = F.coalesce(*[F.when(F.col("_at") < F.floor(F.lit(k + 1) * F.col("_n") / 4), F.lit(k)) for k in range(4)])
-    own = rows.withColumn("quartile", q)
-    rank = lambda c: F.rank().over(Window.partitionBy("quartile").orderBy(c)) + (F.count("*").over(Window.partitionBy("quartile", c)) - 1) / 2.0
-    return own.withColumns({"_ra": rank(a), "_rg": rank(gold)}).groupBy("quartile").agg(F.count("*").alias("n"), F.corr("_ra", "_rg").alias("rho"))
+    """(quartile, n, rho): correlation within quarters of the rows by gold; quarter q holds ranks q*n//4 up to (q+1)*n//4."""
+    n = rows.count()
+    placed = _before(rows.withColumn("_one", F.lit(1)), [gold, tie], "_one", "_at")
+    q = F.coalesce(*[F.when(F.col("_at") < (k + 1) * n // 4, F.lit(k)) for k in range(4)])
+    own = placed.select(q.alias("quartile"), gold, a).where(F.col(gold).isNotNull() & F.col(a).isNotNull())
+    ranked = _average_rank(_average_rank(own, a, "_ra", "quartile"), gold, "_rg", "quartile")
+    return ranked.groupBy("quartile").agg(F.count("*").alias("n"), F.corr("_ra", "_rg").alias("rho"))
 
 
 def extremes(rows: DataFrame, wrong: Column, order: Column, tie: str, n: int = 8) -> DataFrame:
@@ -97,6 +117,18 @@ def verdict(a: Column, b: Column, margin: float = 0.01) -> Column:
     return F.when(a - b > margin, "WIN").when(b - a > margin, "LOSE").otherwise("TIE")
 
 
+def category_means(rows: DataFrame, category: str, score: str = "score") -> DataFrame:
+    """(category, n, mean)."""
+    return rows.groupBy(category).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+
+
+def totals(results: DataFrame, own: str, baseline: str) -> DataFrame:
+    """(benchmarks, wins, ties, losses, own, baseline, difference) over rows of one benchmark each."""
+    v = verdict(F.col(own), F.col(baseline))
+    n = lambda name: F.count_if(v == name)
+    return results.agg(F.count("*").alias("benchmarks"), n("WIN").alias("wins"), n("TIE").alias("ties"), n("LOSE").alias("losses"), F.avg(own).alias("own"), F.avg(baseline).alias("baseline"), (F.avg(own) - F.avg(baseline)).alias("difference"))
+
+
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, id_column: str = "doc_id", word: str = "word", column: str = "embedding") -> DataFrame:
     """(id, vector): the mean of the vectors of a row's words; rows without a known word are left out."""
     rows = tokens.select(id_column, word).join(vectors.select(word, F.posexplode(column).alias("k", "x")), word)

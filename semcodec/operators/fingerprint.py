@@ -29,15 +29,16 @@ def top_addresses(encoded: DataFrame, k: int = TOP, id_column: str = "doc_id") -
 
 
 def fingerprint(encoded: DataFrame, k: int = TOP, id_column: str = "doc_id") -> DataFrame:
-    """(id, top, histogram, total, byte_size, fingerprint_bytes), a row for each row; works within each row, without a shuffle."""
-    addrs = F.transform("tokens", lambda t: t["addr"])
-    counted = F.transform(F.array_distinct(addrs), lambda a: F.struct((-F.size(F.filter(addrs, lambda x: x == a))).alias("n"), F.array_position(addrs, a).alias("first"), a.alias("addr")))
-    top = F.transform(F.slice(F.array_sort(counted), 1, k), lambda c: F.struct(codec.address_text(c["addr"]).alias("address"), (-c["n"]).alias("n")))
-    codes = F.transform("tokens", lambda t: codec.domain_code(t["addr"]))
-    hist = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(codes)), lambda d: F.struct(d, F.size(F.filter(codes, lambda x: x == d)))))
-    return encoded.select(id_column, top.alias("top"), hist.alias("histogram"), F.size("tokens").alias("total"), codec.byte_size(F.col("tokens")).alias("byte_size")).withColumn(
-        "fingerprint_bytes", 5 * F.size("top") + 3 * F.size("histogram")
-    )
+    """(id, top, histogram, total, byte_size, fingerprint_bytes), a row for each row of encoded, whose ids are distinct."""
+    counts = address_counts(encoded, id_column)
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "addr")))  # a row's distinct addresses
+    tops = counts.groupBy(id_column).agg(ordered.alias("_c"))
+    code = codec.domain_code(F.col("addr"))
+    domains = counts.groupBy(id_column, code.alias("domain")).agg(F.sum("n").cast("int").alias("n")).groupBy(id_column).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("_h"))
+    out = encoded.select(id_column, F.size("tokens").alias("total"), codec.byte_size(F.col("tokens")).alias("byte_size")).join(tops, id_column, "left").join(domains, id_column, "left")
+    top = F.transform(F.slice("_c", 1, k), lambda c: F.struct(codec.address_text(c["addr"]).alias("address"), (-c["n"]).cast("int").alias("n")))
+    out = out.withColumns({"top": F.coalesce(top, F.expr("cast(array() as array<struct<address:string,n:int>>)")), "histogram": F.coalesce("_h", F.expr("cast(map() as map<string,int>)"))})
+    return out.select(id_column, "top", "histogram", "total", "byte_size").withColumn("fingerprint_bytes", 5 * F.size("top") + 3 * F.size("histogram"))
 
 
 def histogram_cosine(a: Column, b: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.constants import GRAPH_POLICY
-from ..functions.text import concept_word
+from ..functions.text import concept_word, plain_word
 
 #: Lanes of relation types for a balanced choice, and how many edges each may take first.
 LANES = {"lexical": (("SYNONYM", "ANTONYM", "ISA"), 2), "functional": (("PART", "PROPERTY", "USED_FOR", "CAUSES", "ENTAILS", "ROLE"), 1), "associative": (("RELATED", "CONTEXT", "ASSOCIATED", "TOPIC"), 1)}
@@ -42,30 +46,65 @@ def prototypes(vectors: DataFrame, key: str, column: str = "embedding") -> DataF
     return means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).select(key, unit(F.transform("m", lambda m: m["x"])).alias("prototype"))
 
 
-def nearest_prototypes(vectors: DataFrame, protos: DataFrame, id_column: str, key: str, *, column: str = "embedding", top_k: int = 4, least: float = 0.28, scale: float = 1.10, most_prototypes: int = 10_000) -> DataFrame:
-    """(id, key, cosine, score): the best prototypes of each vector but its own key's, of cosine `least` or more.
+def nearest_prototypes(vectors: DataFrame, protos: DataFrame, id_column: str, key: str, *, column: str = "embedding", top_k: int = 4, least: float = 0.28, scale: float = 1.10, most_bytes: int = 256 << 20) -> DataFrame:
+    """(id, key, cosine, score): the best prototypes of each vector but its own key's, of cosine `least` or more; smaller keys first among equals.
 
-    The prototypes are one broadcast row, which is why their number is checked.
+    A batch of vectors is one matrix product with all prototypes, which are sent to the executors; their bytes are checked.
+    """
+    known = protos.where("prototype is not null")
+    size = known.agg(F.sum(8 * F.size("prototype"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"prototypes of {size} bytes: split them")
+    table = known.orderBy(key).toArrow()
+    rows = vectors.select(id_column, key, unit(F.col(column)).alias("v")).where("v is not null")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2]) + ", cosine double, score double"
+    if not table.num_rows:
+        return rows.limit(0).select(id_column, key, F.lit(0.0).alias("cosine"), F.lit(0.0).alias("score"))
+    matrix = np.array(table.column("prototype").to_pylist(), np.float64)
+    keys = table.column(key).combine_chunks()
+    sent = rows.sparkSession.sparkContext.broadcast((matrix, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, keys = sent.value
+        place = {k: n for n, k in enumerate(keys.to_pylist())}
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                cosine = np.array(part.column(2).to_pylist(), np.float64) @ matrix.T
+                own = np.array([place.get(k, -1) for k in part.column(1).to_pylist()])
+                cosine[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+                order = np.argsort(-cosine, axis=1, kind="stable")[:, :top_k]
+                best = np.take_along_axis(cosine, order, 1)
+                at, k = np.nonzero(best >= max(least, -1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), keys.take(pa.array(order[at, k])), pa.array(best[at, k]), pa.array(best[at, k] * scale)], [id_column, key, "cosine", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def associations(adjacency: DataFrame, names: DataFrame, dictionary: DataFrame | None = None, *, kind: str = "ASSOCIATED", least: float = 2.0, scale: float = 0.12, reverse: float = 0.65, top_k: int = 4, fill_only: DataFrame | None = None) -> DataFrame:
+    """(word, other, score) from adjacency (src, dst, weight) and names (id, word): forward, and weaker backward; top_k for each word.
+
+    With a dictionary: edges (word, type, addr, score) of type `kind` (ASSOCIATED or TOPIC) between words of it that have different addresses, whose scores are
+    summed by address. fill_only: edges (word, ...); words that have some get none here.
     """
-    if protos.count() > most_prototypes:
-        raise ValueError(f"more than {most_prototypes} prototypes: split them")
-    packed = protos.where("prototype is not null").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("prototype").alias("p")))).alias("_all"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = vectors.select(id_column, F.col(key).alias("_own"), unit(F.col(column)).alias("_v")).where("_v is not null").join(F.broadcast(packed), how="cross")  # one row
-    found = F.transform(F.filter("_all", lambda p: p["k"] != F.col("_own")), lambda p: F.struct((-dot(F.col("_v"), p["p"])).alias("c"), p["k"].alias("k")))
-    best = F.slice(F.array_sort(F.filter(found, lambda x: -x["c"] >= least)), 1, top_k)
-    return rows.select(id_column, F.explode(best).alias("x")).select(id_column, F.col("x.k").alias(key), (-F.col("x.c")).alias("cosine"), (-F.col("x.c") * scale).alias("score"))
-
-
-def associations(adjacency: DataFrame, names: DataFrame, *, least: float = 2.0, scale: float = 0.12, reverse: float = 0.65, top_k: int = 4) -> DataFrame:
-    """(word, other, score) from adjacency (src, dst, weight) and names (id, word): forward, and weaker backward; top_k for each word."""
-    n = lambda c: names.select(F.col("id").alias(c), F.lower(F.trim("word")).alias(f"{c}_word"))
-    rows = adjacency.where(F.col("weight") >= least).join(n("src"), "src").join(n("dst"), "dst")
-    both = rows.select(F.col("src_word").alias("word"), F.col("dst_word").alias("other"), (F.col("weight") * scale).alias("score")).unionByName(
-        rows.select(F.col("dst_word").alias("word"), F.col("src_word").alias("other"), (F.col("weight") * scale * reverse).alias("score"))
+    n = lambda c: names.select(F.col("id").alias(c), plain_word(F.col("word")).alias(f"{c}_word"))
+    rows = adjacency.where(F.col("weight") >= least).join(n("src"), "src").join(n("dst"), "dst").where("src_word <> '' and dst_word <> '' and src_word <> dst_word")
+    target = "other"
+    if dictionary is not None:
+        target = "addr"
+        own = dictionary.where("kind = 'text'")
+        for c in ("src", "dst"):
+            rows = rows.join(own.select(F.col("word").alias(f"{c}_word"), F.col("addr").alias(f"{c}_addr")), f"{c}_word")
+        rows = rows.where("src_addr <> dst_addr")
+    end = "word" if dictionary is None else "addr"
+    both = rows.select(F.col("src_word").alias("word"), F.col(f"dst_{end}").alias(target), (F.col("weight") * scale).alias("score")).unionByName(
+        rows.select(F.col("dst_word").alias("word"), F.col(f"src_{end}").alias(target), (F.col("weight") * scale * reverse).alias("score"))
     )
-    sums = both.where("word <> other").groupBy("word", "other").agg(F.sum("score").alias("score"))
-    return sums.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "other"))).where(F.col("n") <= top_k).drop("n")
+    if fill_only is not None:
+        both = both.join(fill_only.select("word").distinct(), "word", "left_anti")
+    sums = both.where("score > 0").groupBy("word", target).agg(F.sum("score").alias("score"))
+    best = sums.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), target))).where(F.col("n") <= top_k).drop("n")
+    return best if dictionary is None else best.select("word", F.lit(codec.RELATION_ALIASES.get(kind, kind)).alias("type"), "addr", "score")
 
 
 def select_top(edges: DataFrame, k: int = 4, *, balanced: bool = False) -> DataFrame:

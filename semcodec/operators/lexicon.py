@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..functions.constants import DOMAINS
 
-#: Rows up to which a dictionary is broadcast (some 60 bytes each).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a dictionary is broadcast: of its strings, and 40 for each row and each relation.
+BROADCAST_BYTES = 64 << 20
 RELATED = "array<struct<addr:int,weight:int,type:string,direction:int>>"
 COLUMNS = ["kind", "word", "addr", "polarity", "formality", "intensity", "synset", "related"]
 
@@ -171,21 +171,49 @@ def with_variants(dictionary: DataFrame) -> DataFrame:
     return best.select("kind", "key", *[f"e.{c}" for c in rest])
 
 
-def joinable(dictionary: DataFrame) -> DataFrame:
-    """With a broadcast hint where the number of rows is small."""
-    return F.broadcast(dictionary) if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dictionary
+_BYTES: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def joinable(dictionary: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """part, or all, of a dictionary, with a broadcast hint where the dictionary's bytes are few; they are counted once for each DataFrame."""
+    if dictionary not in _BYTES:
+        size = F.lit(40) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in dictionary.columns if c in ("word", "key", "synset")), F.lit(0))
+        if "related" in dictionary.columns:
+            size = size + 40 * F.greatest(F.size("related"), F.lit(0))
+        _BYTES[dictionary] = dictionary.agg(F.sum(size)).first()[0] or 0
+    part = dictionary if part is None else part
+    return F.broadcast(part) if _BYTES[dictionary] <= BROADCAST_BYTES else part
 
 
 def looked_up(rows: DataFrame, column: str, dictionary: DataFrame, mode: str = "text") -> DataFrame:
     """rows with addr (null where the word isn't found): mode text, code, or auto (code first, then text)."""
     kinds = {"text": ["text"], "code": ["code"], "auto": ["code", "text"]}[mode]
     for k, kind in enumerate(kinds):
-        side = joinable(dictionary.where(F.col("kind") == kind).select(F.col("word").alias(f"_w{k}"), F.col("addr").alias(f"_a{k}")))
+        side = joinable(dictionary, dictionary.where(F.col("kind") == kind).select(F.col("word").alias(f"_w{k}"), F.col("addr").alias(f"_a{k}")))
         rows = rows.join(side, F.lower(column) == F.col(f"_w{k}"), "left").drop(f"_w{k}")
     found = F.coalesce(*[F.col(f"_a{k}") for k in range(len(kinds))])
     return rows.withColumn("addr", found).drop(*[f"_a{k}" for k in range(len(kinds))])
 
 
+def contains(rows: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """rows whose word is a text word of the dictionary."""
+    own = dictionary.where("kind = 'text'")
+    return rows.join(joinable(dictionary, own.select(F.col("word").alias("_w"))), F.lower(column) == F.col("_w"), "left_semi")
+
+
+def lemma_lookup(rows: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """rows with word and addr of the text word that theirs is, or else is an inflection of (text.lemma_candidates, the first that is a word); nulls for unknown words.
+
+    Only distinct words are looked up.
+    """
+    asked = rows.select(F.lower(column).alias("_asked")).where("_asked is not null").distinct()
+    tried = asked.select("_asked", F.posexplode(text.lemma_candidates(F.col("_asked"))).alias("_n", "_try"))
+    own = dictionary.where("kind = 'text'")
+    hits = tried.join(joinable(dictionary, own.select("word", "addr")), F.col("_try") == F.col("word")).groupBy("_asked").agg(F.min_by(F.struct("word", "addr"), "_n").alias("_e"))
+    out = rows.join(hits, F.lower(column) == F.col("_asked"), "left")
+    return out.select(*rows.columns, F.col("_e.word").alias("lemma"), F.col("_e.addr").alias("addr"))
+
+
 def synonyms(dictionary: DataFrame, words: DataFrame) -> DataFrame:
     """(word, synonym): other text words at the address of each of words (word)."""
     own = dictionary.where("kind = 'text'").select("word", "addr")
