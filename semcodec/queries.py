@@ -220,15 +220,6 @@ def lexeme_counts(spark, sf_dir):
     return code.lexemes(rows).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
-@_query("""SELECT event_type, CASE WHEN event_type IN ('click', 'purchase', 'error', 'view', 'login') THEN 6 ELSE 5 END AS n_tokens, 3 AS structural FROM (SELECT DISTINCT event_type FROM events)""")
-def encode_snippets(spark, sf_dir):
-    types = _table(spark, sf_dir, "events").select("event_type").distinct()
-    source = F.concat(F.lit("if fetch_"), F.col("event_type"), F.lit("():  # note\n    return \"old\"\n  class"))
-    rows = types.select("event_type", source.alias("source"), F.lit("python").alias("language"))
-    out = code.encode_code(rows, lexicon.sample(spark), "event_type")
-    return out.select("event_type", (F.size("tokens") - F.size(F.filter("tokens", lambda t: t["features"] == 2))).alias("n_tokens"), F.col("structural_count").alias("structural"))
-
-
 @_query("""WITH j AS (SELECT quality AS a, n_chars AS b FROM labels JOIN documents USING (doc_id)), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM j)
     SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r""")
 def spearman(spark, sf_dir):
@@ -404,22 +395,4 @@ def frames_found(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(encode.frame_entries(words), lambda t: t["word"]), ",").alias("frames"))
 
 
-@_query("SELECT 'fetch_url' AS kind, round((2 * 1.0 + 0) / 2, 6)::DOUBLE AS score, 2 AS matches UNION ALL SELECT 'antonym', 0.3::DOUBLE, 1 UNION ALL SELECT 'synonym', 0.92::DOUBLE, 1 UNION ALL SELECT 'coverage', 1.0::DOUBLE, 2 UNION ALL SELECT 'code_aware', 1.05::DOUBLE, 1")
-def relation_scores(spark, sf_dir):
-    token = lambda addr, related="": f"named_struct('pos', 0, 'word', 'w{addr}', 'addr', {addr}, 'shade', 85, 'role', 1, 'features', 0, 'related', cast(array({related}) as {lexicon.RELATED}))"
-    edge = lambda addr, kind: f"named_struct('addr', {addr}, 'weight', 255, 'type', '{kind}', 'direction', 0)"
-    seq = lambda *t: F.expr(f"array({', '.join(t)})")
-    q = 3 << 16
-    cases = [
-        ("fetch_url", align.align(seq(token(5), token(70000)), seq(token(5), token(70000)))),
-        ("antonym", align.align(seq(token(q + 1, edge(q + 2, "ANTONYM"))), seq(token(q + 2)))),
-        ("synonym", align.align(seq(token(q + 1, edge(q + 2, "SYNONYM"))), seq(token(q + 2)))),
-        ("coverage", align.align(seq(token(5), token(70000)), seq(token(5), token(70000), token(q), token(9 << 16)), "code_search")),
-        ("code_aware", align.align(seq(token(5)), seq(token(5)), code_aware=True)),
-    ]
-    one = spark.range(1)
-    out = None
-    for kind, result in cases:
-        row = one.select(F.lit(kind).alias("kind"), F.round(result["score"], 6).alias("score"), F.size(result["matches"]).alias("matches"))
-        out = row if out is None else out.union(row)
-    return out
+from . import queries_more  # noqa: E402, F401  it registers more
