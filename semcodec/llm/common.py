@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,34 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import root as shared_root
+from ..plans.shared import workers_see_package
+
 #: Bytes of text that a numpy kernel takes at once (a longer single text is taken alone).
 SLICE_BYTES = 1 << 20
 
-REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Where neither is set, a session on this machine alone gets a temporary folder; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="semcodec-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def _place(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
