@@ -11,7 +11,7 @@ Jaccard similarity. Texts with one and the same set are one class, and only clas
    coordinates are confirmed on full shingle sets: 100 * |both| >= 75 * |either|.
 3. Lists longer than LONG are skipped there. Their classes are first held against the list's hub, its class with the
    commonest tokens, and confirmed as above; that links the members of large groups of copies without their pairs.
-   What a hub leaves apart gets a hub of its own, again and again in those lists where that links a quarter of it.
+   In very long lists, what a hub leaves apart gets a hub of its own, as long as that links a quarter of it.
    Where a long list then still has several components, the members outside its largest one are counted against
    all members, in blocks of bounded bytes, by merging the members' shingle lists; a block gives a spanning forest of its links.
    Of lists with the same members (documents that share a passage share many coordinates) only one is settled so.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import drop, materialize, passing, slices, workers_see_package
+from .common import drop, materialize, passing, prepare_workers, slices
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -38,8 +38,9 @@ K, T, L, LONG = 64, 32, 3, 24
 #: Entries of the table of token counts: its size doesn't depend on the data.
 COUNT_BITS = 20
 _FACTORS = np.random.default_rng(99).integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Share of a long list's rows outside its largest component that a round of hubs must leave at most, for another round in that list.
-WORTH = 0.75
+#: A long list gets another hub if the last one left at most WORTH of what was outside its largest component, and that and the list are so
+#: long that settling them by blocks would take more than MANY pairs.
+WORTH, MANY = 0.75, 10_000_000
 
 
 def text_shingles(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing and kept. Other columns are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    workers_see_package(spark)
+    prepare_workers(spark)
     docs = docs.select("doc_id", "text")
     seen = materialize(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, sig binary, low binary"), "signatures")
     key = ["f1", "f2", "n"]
@@ -286,12 +287,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = _joined(confirm(pairs.union(stars).distinct(), classes, docs))
     rows, before = _unsettled(long.select("token", "id", "weight"), labels), long.select("token", F.col("c").alias("was")).distinct()
     while True:
-        left = rows.groupBy("token").agg(F.count_if("outside").alias("left"))
+        left = rows.groupBy("token").agg(F.count_if("outside").alias("left"), F.count("*").alias("all")).where(F.col("left") * F.col("all") > MANY)
         worth = materialize(left.join(before, "token").where(F.col("left") <= WORTH * F.col("was")).select("token", F.col("left").alias("was")), "worth")
         if worth.isEmpty():
             break
         labels = _joined(confirm(_stars(rows.join(worth.select("token"), "token", "left_semi")).distinct(), classes, docs), labels)
-        rows, before = _unsettled(rows.select("token", "id", "weight"), labels), worth
+        last, rows, before = rows, _unsettled(rows.select("token", "id", "weight"), labels), worth
+        drop(last)
     if not rows.isEmpty():
         labels = _joined(_long_list_links(rows, docs), labels)
     drop(rows, shared)

@@ -91,6 +91,7 @@ def test_minhash(docs, monkeypatch, long):
 def test_minhash_many_hubs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LONG", 2)
     monkeypatch.setattr(minhash, "BLOCK", 200)
+    monkeypatch.setattr(minhash, "MANY", 0)
     rng = random.Random(12)
     hub = words(rng, 60)
     rows = []
