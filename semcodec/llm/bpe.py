@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_see_package
+from .common import prepare_workers
 from .tokens import load_ranks, white_space_of_unicode
 
 SLOTS = 1 << 16
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = F
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the bytes that they decode to. A
     null text is an empty one; repeated rows give repeated rows; a null doc_id stays null; other columns are ignored.
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(_run(ranks_path, pattern, with_ids), schema)
 
@@ -287,7 +287,7 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
-    workers_see_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 

@@ -24,9 +24,29 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: A table has at most a file for each BYTES_PER_FILE of the files that it is worked out of, or FILES_PER_CORE for each core if that is more.
+BYTES_PER_FILE, FILES_PER_CORE = 8 << 20, 4
 _scope: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
 
 
+#: Rows of the batches in which texts go to Python workers, where the session doesn't say how many: a batch is held several times over.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Workers see this package, and get batches of BATCH_ROWS unless the session has a setting of its own."""
+    workers_see_package(spark)
+    if spark.conf.get(BATCH_KEY, None) in (None, "10000"):
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df in no more partitions than are worth a file each, going by the bytes of the files that it reads; so small inputs don't become very many tiny files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.coalesce(min(max(-(-size // BYTES_PER_FILE), FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism), (1 << 31) - 1))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and any executor can reread it.
 
@@ -34,7 +54,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     root = f"{shared_root(spark)}/semcodec-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{label}")
+    compact(df).write.parquet(f"{root}/{label}")
     where, files = _place(spark, root)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(f"{root}/{label}")
@@ -125,7 +145,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int
     The executors turn whole texts into features (extract: a column of texts -> the columns of `fields`); the driver gathers those only.
     Rows without text, id or label are left out. Of rows that repeat an id, the one whose text has the least hash counts. The rows come in the order of doc_id.
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     some = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     some = some.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null").join(F.broadcast(some), "_id")  # at most `limit` rows of two numbers
@@ -144,18 +164,19 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int
     return found, found.column("_y").to_numpy().astype(np.int64)
 
 
-#: Bits of a filter for each id, and bits up to which a filter is sent to the executors (32 MB).
-FILTER_BITS_EACH, FILTER_BITS_MOST = 8, 1 << 28
+#: Bits of a filter for each id, if they fit in FILTER_BITS_MOST (32 MB), and the least for which one is worth its while.
+FILTER_BITS_EACH, FILTER_BITS_MOST, FILTER_BITS_LEAST = 32, 1 << 28, 4
 
 
 def passing(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
-    """rows with a last column, and what a worker does with a batch of them: it leaves the rows of the ids, and some 12 % of the others.
+    """rows with a last column, and what a worker does with a batch of them: it leaves the rows of the ids, and some 3 % of the others (more where ids are so many that they get fewer bits).
 
     So texts that aren't meant needn't be shuffled. The filter is a bitmap of hashed ids, put together by the executors in pieces of 4 KB and
-    sent to them. For more ids than fit in FILTER_BITS_MOST, rows are joined with ids instead.
+    sent to them. For more ids than that, rows are joined with ids instead.
     """
-    bits = 1 << max(15, (FILTER_BITS_EACH * ids.count() - 1).bit_length())
-    if bits > FILTER_BITS_MOST:
+    many = ids.count()
+    bits = min(1 << max(15, (FILTER_BITS_EACH * many - 1).bit_length()), FILTER_BITS_MOST)
+    if bits < FILTER_BITS_LEAST * many:
         return rows.join(ids.select(F.col(id_column).alias(column)).distinct(), column, "left_semi").select(*rows.columns, F.lit(0).alias("_slot")), lambda batch: batch.drop_columns(["_slot"])
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
     parts = ids.groupBy(F.bitmap_bucket_number(slot(id_column) + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(id_column) + 1)).alias("bits")).toArrow()

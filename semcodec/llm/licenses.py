@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import workers_see_package
+from .common import prepare_workers
 
 #: Fixed phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -224,5 +224,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     score is 1 minus the product of (1 - weight) over the labels found and a parsed tag: 0 without any. A null text is an empty
     one; repeated rows give repeated rows; a null doc_id stays null; other columns are ignored.
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, workers_see_package
+from .common import materialize, prepare_workers
 from .tokens import worker_encoder
 
 SEQUENCE, END_ID = 2048, 0
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end
 
     added: tokens beside those of the ranks file, and their ids (tokens.added_tokens).
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_pieces(ranks_path, sequence, end_id, added), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -96,7 +96,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
 
     Equal lengths are ranked by doc_id, piece and whatever else tells rows apart. Reads pieces twice: give a written table.
     """
-    workers_see_package(pieces.sparkSession)
+    prepare_workers(pieces.sparkSession)
     total = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length: at most `sequence`
     buckets = np.ones(sequence + 1, np.int64)  # by length
     for r in total:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .common import held_out_rows, labelled_features, slices, workers_see_package
+from .common import held_out_rows, labelled_features, prepare_workers, slices
 
 BITS, SHARE = 20, 10.0
 _MARKS = kernel.NOT_SPACE & ~kernel.ALNUM
@@ -99,7 +99,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
     stays null and isn't held out; other columns are ignored.
     """
     spark = docs.sparkSession
-    workers_see_package(spark)
+    prepare_workers(spark)
     sent = spark.sparkContext.broadcast(model)  # 4 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialize, unused, workers_see_package
+from .common import columns, materialize, prepare_workers, unused
 
 #: Fixed patterns and least lengths; kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     `min_bits` bits of entropy or more. An empty table gives an empty table. Whole texts of any length are scanned; other columns of docs, whatever
     their names, are ignored.
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
     rows = docs.select("doc_id", F.coalesce(col(owner), F.lit("")).alias("owner"), F.coalesce(col(repository), F.lit("")).alias("repo"), "text")
     seen = rows.mapInArrow(_scan, f"doc_id long, owner string, repo string, base {_SPAN}, candidates array<struct<start:long,end:long,kind:string,fixed:boolean,value:string,bits:double>>")
@@ -167,7 +167,7 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]", key: str
     Joined by found's doc_id with docs' `key`, whose values must be unique. In rows where it is null the fixed patterns' spans are replaced. Columns of docs
     may have any names.
     """
-    workers_see_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     spans = unused("spans", docs.columns)
     hits = found.where((F.size("base") > 0) | (F.size("more") > 0)).select(F.col("doc_id").alias(key), F.concat("base", "more").alias(spans))
     many = hits.agg(F.sum(F.size(spans))).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .common import held_out_rows, labelled_features, slices, workers_see_package
+from .common import held_out_rows, labelled_features, prepare_workers, slices
 
 LEAST, MOST, BUCKET_BITS, DIMENSIONS = 3, 6, 18, 4
 #: Factor of the mean of a text's word vectors.
@@ -186,7 +186,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, threshold: float = 0.3) ->
     stays null and isn't held out; other columns are ignored.
     """
     spark = docs.sparkSession
-    workers_see_package(spark)
+    prepare_workers(spark)
     sent = spark.sparkContext.broadcast(model)  # 2 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
