@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcodec.llm import exact_dedup, minhash, packing, quality_rules, secrets, tokens
-from semcodec.llm.common import columns, drop, materialize, numbered, temporary_tables, without
+from semcodec.llm.common import columns, compact, drop, materialize, numbered, temporary_tables, without
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a fixed limit or that the forest rejects go."""
     forest, threshold = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.filtered(docs, forest, threshold)
+    return compact(quality_rules.filtered(docs, forest, threshold))
 
 
 def _by_number(docs: DataFrame, key: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _by_number(docs: DataFrame, key: str) -> DataFrame:
 def _deduplicated(docs: DataFrame, find) -> DataFrame:
     """docs without the rows that find(doc_id, text) doesn't keep."""
     rows, key = numbered(docs)
-    return without(rows, key, find(_by_number(rows, key)).where("not kept").select("doc_id")).select(*columns(docs))
+    return compact(without(rows, key, find(_by_number(rows, key)).where("not kept").select("doc_id")).select(*columns(docs)))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = numbered(docs)
     found = secrets.scan(rows.select(F.col(key).alias("doc_id"), "text", "source", "lang"))
     clean = secrets.redacted(rows, found, key=key).select(*columns(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    return compact(clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean)
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
