@@ -129,6 +129,31 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(told.select(*columns(docs), number.alias(name)), "numbered"), name
 
 
+#: Keys that summed() deals over several tasks, at most.
+HOT_KEYS = 4000
+
+
+def summed(rows: DataFrame, key: list[str], spread: list[str], meets: Column | None = None, **sums: Column) -> DataFrame:
+    """rows (those for which meets is true, if given) with sums (aggregates) over all rows of the same key; no key may be null.
+
+    The aggregate is combined before it is shuffled, but each row must meet the sums of its key: a join in which a key that a third of all rows
+    have would fall to one task. So the HOT_KEYS commonest hashes of keys are counted first (that many numbers on the driver, whatever the input). A key
+    with more than the mean of those gets as many parts as it has such means; `spread` deals its rows over them, and its sums are repeated for each part. All
+    other keys have one part, of at most one HOT_KEYS-th of the rows. A hash that two keys share gives both of them parts; the join is on the keys.
+    """
+    spark = rows.sparkSession
+    code, part, parts = (unused(c, rows.columns) for c in ("code", "part", "parts"))
+    coded = (rows if meets is None else rows.where(meets)).withColumn(code, F.xxhash64(*key))
+    top = coded.groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code).limit(HOT_KEYS).toArrow()
+    n = top.column("n").to_numpy()
+    share = max(1, int(n.sum()) // HOT_KEYS)
+    hot = spark.createDataFrame(pa.table({code: top.column(code).to_numpy()[n > share], parts: -(-n[n > share] // share)}), f"{code} long, {parts} long")
+    dealt = coded.join(F.broadcast(hot), code, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(parts)), F.lit(0)))
+    names = rows.groupBy(*key).agg(*[c.alias(name) for name, c in sums.items()]).withColumn(code, F.xxhash64(*key)).join(F.broadcast(hot), code, "left")
+    names = names.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(parts), F.lit(1)) - 1)))
+    return dealt.drop(code, parts).join(names.drop(code, parts), [*key, part]).drop(part)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for rows that no label may be learned from: crc32(doc_id as text) mod 4 is 2."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from semcodec.llm import bpe, components, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter  # noqa: E402
+from semcodec.llm import bpe, common, components, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter  # noqa: E402
 
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -113,6 +113,18 @@ def test_minhash_odd_rows(spark, empty):
     assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)]
 
 
+@pytest.mark.parametrize("most", [4000, 4, 1])
+def test_summed_deals_common_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "HOT_KEYS", most)
+    keys = [0] * 700 + [k // 2 for k in range(600)]
+    rows = spark.createDataFrame([(k, i, "x") for i, k in enumerate(keys)], "key long, id long, part string")
+    got = common.summed(rows, ["key"], ["id"], n=F.count("*"), least=F.min("id")).select("key", "id", "part", "n", "least").collect()
+    assert sorted(map(tuple, got)) == sorted((k, i, "x", keys.count(k), keys.index(k)) for i, k in enumerate(keys))
+    few = common.summed(rows, ["key"], ["id"], F.expr("id % 100 = 0"), n=F.count("*")).select("key", "id", "n").collect()
+    assert sorted(map(tuple, few)) == sorted((keys[i], i, keys.count(keys[i])) for i in range(0, len(keys), 100))
+    assert common.summed(rows.where("false"), ["key"], ["id"], n=F.count("*")).collect() == []
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(50, 51), (51, 50), (51, 51)]
     found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
