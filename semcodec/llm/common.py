@@ -217,6 +217,22 @@ def passing(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tup
     return rows.select("*", slot(column).alias("_slot")), keep
 
 
+#: Bytes of a text that are taken apart at once.
+BYTES_OF_TEXT = 1 << 20
+
+
+def text_parts(text: bytes, size: int = BYTES_OF_TEXT) -> Iterator[bytes]:
+    """text, cut at blanks into parts of about `size` bytes (longer where a part has no blank)."""
+    lo = 0
+    while len(text) - lo > size:
+        hi = text.find(b" ", lo + size)
+        if hi < 0:
+            break
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:] if lo else text
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and each text's offsets; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter
+from . import bpe, divergence, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(docs, forest, threshold).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can express of operators whose own results hold more: rules, base counts, places and spans, the round trip.
 
 
@@ -91,7 +95,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
+    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -150,4 +154,17 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS body FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n_chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256, n_chars FROM g""",
+    "op11_divergence": rf"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        k AS (SELECT lang, term, sum(count(*)) OVER (PARTITION BY lang) AS v FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= {divergence.LEAST_DOCUMENTS}),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+        f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        r AS (SELECT *, 1 + ((n + 5)::HUGEINT * 1000000000) // (sum(n) OVER s + 5 * count(*) OVER s) AS p, sum(n) OVER (PARTITION BY lang, term) AS m FROM f WINDOW s AS (PARTITION BY lang, source)),
+        l AS (SELECT lang, sum(n) AS all_n, count(DISTINCT term) AS v FROM f GROUP BY 1),
+        t AS (SELECT r.lang, source, term AS item, p - (1 + ((m + 5)::HUGEINT * 1000000000) // (all_n + 5 * v)) AS value, n FROM r JOIN l USING (lang)),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        y AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term' AS part, item, value FROM t WHERE n > 0 AND value > 0)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z) WHERE part = 'pair' OR rank <= {divergence.TOP}""",
 }
