@@ -193,6 +193,15 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, limit: int
 FILTER_BITS_EACH, FILTER_BITS_MOST, FILTER_BITS_LEAST = 32, 1 << 28, 4
 
 
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of `bits` bits (a multiple of 2^15) in which those of slots (slot) are set; the executors put it together in pieces of 4 KB."""
+    parts = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    for bucket, own in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        table[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(own, np.uint8)
+    return table
+
+
 def passing(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
     """rows with a last column, and what a worker does with a batch of them: it leaves the rows of the ids, and some 3 % of the others (more where ids are so many that they get fewer bits).
 
@@ -204,11 +213,7 @@ def passing(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tup
     if bits < FILTER_BITS_LEAST * many:
         return rows.join(ids.select(F.col(id_column).alias(column)).distinct(), column, "left_semi").select(*rows.columns, F.lit(0).alias("_slot")), lambda batch: batch.drop_columns(["_slot"])
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    parts = ids.groupBy(F.bitmap_bucket_number(slot(id_column) + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(id_column) + 1)).alias("bits")).toArrow()
-    table = np.zeros(bits // 8, np.uint8)
-    for bucket, own in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        table[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(own, np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(slot(id_column).alias("slot")), bits))
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.column("_slot").to_numpy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, tokens, toxicity, url_filter
+from . import bpe, divergence, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, spelling, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can express of operators whose own results hold more: rules, base counts, places and spans, the round trip.
 
 
@@ -95,7 +99,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
+    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, op13_spelling, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -121,6 +125,19 @@ _PLACES = " || ".join(
     f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: w[i:i + {len(words) - 1}] = {words}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for phrase, label in licenses.PHRASES.items() for words in [phrase.split()]
 )
 
+def _nibble_rests() -> list[int]:
+    """What the checksum of 32 bits makes of each value of four bits."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: The checksum of a list of values of four bits, the lower half of each byte first.
+_CRC = f"xor(list_reduce(nibbles, lambda c, x: xor(({_nibble_rests()}::BIGINT[])[(xor(c, x) & 15) + 1], c >> 4), 4294967295::BIGINT), 4294967295)"
+
 ORACLE_SQL = {
     "op6_minhash": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
@@ -167,4 +184,19 @@ ORACLE_SQL = {
         y AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
         z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term' AS part, item, value FROM t WHERE n > 0 AND value > 0)
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z) WHERE part = 'pair' OR rank <= {divergence.TOP}""",
+    "op13_spelling": rf"""
+        WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+        r AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM d WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY 1, 2),
+        b AS (SELECT run, n, list_transform(range(len(x)), lambda i: strpos('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1) AS nibbles FROM r),
+        h AS (SELECT run, n, {_CRC} AS h FROM b),
+        c AS (SELECT CASE WHEN h % {spelling.DROP} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY 1 HAVING sum(n) >= {spelling.LEAST_COUNT}),
+        cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS short FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+        one AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN v b ON a.short = b.word),
+        p AS (SELECT word, near, n, near_n FROM one UNION ALL SELECT near, word, near_n, n FROM one UNION ALL SELECT a.word, b.word, a.n, b.n FROM cut a JOIN cut b ON a.short = b.short AND a.i = b.i AND a.word <> b.word),
+        q AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near_n END AS form_n FROM v LEFT JOIN q ON q.word = v.word AND k = 1),
+        w(word, last) AS (SELECT word, word FROM f UNION ALL SELECT w.word, form FROM w JOIN f ON f.word = w.last WHERE form IS NOT NULL),
+        e AS (SELECT w.word, last AS root FROM w JOIN f ON f.word = w.last WHERE form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
 }
