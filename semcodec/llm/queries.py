@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, exact_dedup, licenses, minhash, packing, quality_model, quality_rules, secrets, spelling, tokens, toxicity, url_filter
+from . import bpe, divergence, exact_dedup, licenses, minhash, ngram_join, packing, quality_model, quality_rules, secrets, spelling, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -99,7 +103,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, op13_spelling, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
+    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, op12_ngram_join, op13_spelling, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -184,6 +188,15 @@ ORACLE_SQL = {
         y AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
         z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term' AS part, item, value FROM t WHERE n > 0 AND value > 0)
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z) WHERE part = 'pair' OR rank <= {divergence.TOP}""",
+    "op12_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * m >= 90 * (na + nb - m)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+        c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, len(g) AS n_shingles, component_id FROM s JOIN c ON id = doc_id""",
     "op13_spelling": rf"""
         WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
         r AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM d WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY 1, 2),
