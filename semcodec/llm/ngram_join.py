@@ -191,7 +191,7 @@ class Trie:
             left = ends[p] - np.searchsorted(keys, p * self.grams_known + self.grams[self.first[child] + size - 1], "right")
             left = np.minimum(left, self.longest[child] - self.end[child])
             least = np.maximum(self.least[child], -(-9 * n[p] // 10))
-            going = (left > 0) & (overlap + left >= needed(n[p], least) - np.maximum(gap[p], self.gap[child]))
+            going = overlap + left >= needed(n[p], least) - np.maximum(gap[p], self.gap[child])
             p, node, overlap = p[going], child[going], overlap[going]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
