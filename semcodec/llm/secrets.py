@@ -2,9 +2,9 @@
 
 Base spans come from three fixed patterns. The method looks at further candidates (well-known token prefixes, key blocks,
 bearer values, and values of other assignments) and counts for the hash of each value in how many
-repositories and by how many owners it is found. A value that several owners or repositories have is a copied example; one that belongs to one
-owner, in few repositories, and looks random is taken for a live credential and reported as well. Where owners are many, a second owner doesn't
-make a value a copied example yet: a document with a credential may have one copy elsewhere.
+repositories and by how many owners it is found. A value that more than two owners or repositories have is a copied example; one that belongs to one or two
+(a document with a credential may have one copy elsewhere) and looks random is taken for a live credential and reported as well. The limits are plain
+numbers: what other owners a table has doesn't matter.
 
 The counts are partially aggregated before each shuffle: (value, owner, repository), then (value, owner), then value. What
 is joined back to the documents are the values of few owners and repositories only, so a widely copied example is not gathered anywhere.
@@ -27,20 +27,54 @@ from .common import columns, materialize, prepare_workers, unused
 #: Fixed patterns and least lengths; kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
-#: Owners of a table for each owner that a live value may have, where that is more than scan()'s max_owners; at most one more than that.
-OWNERS_FOR_ONE = 10
 _ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 ASSIGN = re.compile("(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _HINTS = ("password", "passwd", "secret", "token", "api")
-#: The method's own candidates: a value is group 1.
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END")
+_SEGMENT = re.compile(r"[A-Za-z0-9_-]*")
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """What stands between the lines of a key block, without the white space around it; no character of it may be a dash, so a block is read once."""
+    for m in _BLOCK.finditer(text):
+        inner = m[1].strip()
+        if len(inner) >= 32:
+            a = m.start(1) + len(m[1]) - len(m[1].lstrip())
+            yield a, a + len(inner)
+
+
+def _web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three segments with dots between them, the first from an `eyJ` at a word's beginning; each run of characters is read a fixed number of times."""
+    at = text.find("eyJ")
+    while at >= 0:
+        ends = [_SEGMENT.match(text, at).end()]
+        while len(ends) < 3 and text[ends[-1] : ends[-1] + 1] == ".":
+            ends.append(_SEGMENT.match(text, ends[-1] + 1).end())
+        after = ends[0]
+        if len(ends) == 3 and min(ends[1] - ends[0], ends[2] - ends[1]) > 8:
+            while 0 <= at <= ends[0] - 11:
+                if at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_"):
+                    yield at, ends[2]
+                    after = ends[2]
+                    break
+                at = text.find("eyJ", at + 1)
+        at = text.find("eyJ", after)
+
+
+def _group(pattern: str):
+    compiled = re.compile(pattern)
+    return lambda text: (m.span(1) for m in compiled.finditer(text))
+
+
+#: The method's own candidates: where the values are.
 _MORE = (
-    ("token", re.compile(r"\b((?:ghp|gho|ghs|glpat|xox[abp]|sk|pk|rk)[_-][A-Za-z0-9_-]{16,})")),
-    ("bearer", re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})")),
-    ("jwt", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    ("block", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{32,}?)\s*-----END")),
-    ("other", re.compile(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]*["']?\x20*[:=]\x20*["']([^\s"']{12,})["']""")),
+    ("token", _group(r"\b((?:ghp|gho|ghs|glpat|xox[abp]|sk|pk|rk)[_-][A-Za-z0-9_-]{16,})")),
+    ("bearer", _group(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/=-]{20,})")),
+    ("jwt", _web_tokens),
+    ("block", _blocks),
+    ("other", _group(r"""\b(?:auth|credential|private|access|client|pwd|key)[A-Za-z_]*["']?\x20*[:=]\x20*["']([^\s"']{12,})["']""")),
 )
 
 
@@ -59,16 +93,15 @@ def _more(text: str, taken: list[tuple]) -> list[tuple[int, int, str, str]]:
     """The method's candidates that don't overlap a base span or an earlier candidate."""
     found: list[tuple[int, int, str, str]] = []
     covered = None
-    for kind, pattern in _MORE:
-        for m in pattern.finditer(text):
+    for kind, values in _MORE:
+        for a, z in values(text):
             if covered is None:
                 covered = bytearray(len(text))
                 for x, y, *_ in taken:
                     covered[x:y] = b"\1" * (y - x)
-            a, z = m.span(1)
             if covered.find(1, a, z) < 0:
                 covered[a:z] = b"\1" * (z - a)
-                found.append((a, z, kind, m[1]))
+                found.append((a, z, kind, text[a:z]))
     return sorted(found)
 
 
@@ -93,15 +126,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPAN = "array<struct<start:long,end:long,kind:string>>"
 
 
-def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str = "lang", *, max_owners: int = 1, max_repos: int = 2, min_bits: float = 3.0) -> DataFrame:
+def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | str = "lang", *, max_owners: int = 2, max_repos: int = 2, min_bits: float = 3.0) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, owner, base, more and live: arrays of (start, end, kind), one row for each row.
 
     base: spans of the fixed patterns; more: what the method adds; live: of both, those taken for live credentials.
 
     owner and repository say who has a document; a repository is told apart by its owner and its name. A null text is empty;
-    a null owner or repository counts as one of its own. Repeated rows count once towards owners. A value is taken for live if at most `max_owners` owners (one
-    more, where that is no more than one in OWNERS_FOR_ONE of all owners) and at most `max_repos` repositories have it and its characters have
-    `min_bits` bits of entropy or more. An empty table gives an empty table. Whole texts of any length are scanned; other columns of docs, whatever
+    a null owner or repository counts as one of its own. Repeated rows count once towards owners. A value is taken for live if at most `max_owners` owners
+    and at most `max_repos` repositories have it and its characters have `min_bits` bits of entropy or more; no other row counts. An empty table gives an empty table. Whole texts of any length are scanned; other columns of docs, whatever
     their names, are ignored.
     """
     prepare_workers(docs.sparkSession)
@@ -111,8 +143,7 @@ def scan(docs: DataFrame, owner: Column | str = "source", repository: Column | s
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "spans")
     some = seen.where(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
     owners = some.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    more_owners = max_owners + int(seen.select("owner").distinct().count() >= OWNERS_FOR_ONE * (max_owners + 1))
-    live = owners.where((F.col("owners") <= more_owners) & (F.col("repos") <= max_repos)).select("value", "owners", "repos")
+    live = owners.where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("value", "owners", "repos")
     told = some.where(F.col("bits") >= min_bits).join(live, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "fixed")).alias("told"))
     plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     told = told.select("row", F.transform(F.filter("told", lambda s: ~s["fixed"]), plain).alias("more"), F.transform("told", plain).alias("live"))
