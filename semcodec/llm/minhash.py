@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop(rows, shared)
 
     least = classes.join(labels, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
-    first = Window.partitionBy("doc_id").orderBy(F.desc("n"), "f1", "f2")
     out = seen.join(least, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("alone", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))  # rows without an id don't meet in one task
+    first = Window.partitionBy("doc_id", "alone").orderBy(F.desc("n"), "f1", "f2")
     once = F.col("doc_id").isNull() | (F.row_number().over(first) == 1)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), (once & F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))).alias("kept"))

@@ -91,10 +91,11 @@ def plan(counts: dict[int, int], sequence: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+def pack(pieces: DataFrame, sequence: int = SEQUENCE, number: str | None = None) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset; lengths are 1 to `sequence`.
 
-    Equal lengths are ranked by doc_id, piece and whatever else tells rows apart. Reads pieces twice: give a written table.
+    Equal lengths are ranked by doc_id, piece and whatever else tells rows apart. Reads pieces twice: give a written table. number: a column of it
+    that tells all rows apart, by which they are dealt (else rows of one doc_id and piece stay together); it isn't returned.
     """
     prepare_workers(pieces.sparkSession)
     total = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length: at most `sequence`
@@ -106,13 +107,13 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     ends = np.searchsorted(rows[:, 0] * -1, -np.arange(sequence + 2), "right")
 
     own = F.element_at(F.array(*[F.lit(int(n)) for n in buckets[1:]]), F.col("length").cast("int"))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), own))
+    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64(number or F.struct("doc_id", "piece")), own))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = spread.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = spread.withColumn("rank", F.row_number().over(order) - 1).join(sums, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).select(*pieces.columns, "rank")
-
-    names = pieces.columns
+    ranked = spread.withColumn("rank", F.row_number().over(order) - 1).join(sums, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    names = [c for c in pieces.columns if c != number]
+    ranked = ranked.select(*names, "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +127,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             columns = [b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(number + k // per), pa.array(offset + k % per * length)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != number) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
 
 
@@ -136,4 +137,5 @@ def pack_documents(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, e
     Repeated rows are packed each on its own; a null doc_id stays null; an empty table gives an empty table; other columns
     are ignored. A text is split at `added` tokens first.
     """
-    return pack(materialize(token_pieces(docs, ranks_path, sequence, end_id, added), "pieces"), sequence)
+    pieces = token_pieces(docs, ranks_path, sequence, end_id, added).withColumn("number", F.monotonically_increasing_id())
+    return pack(materialize(pieces, "pieces"), sequence, "number")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from semcodec.llm import bpe, common, kernel, licenses, quality_model, quality_rules, queries, secrets, tokens, toxicity, url_filter  # noqa: E402
+from semcodec.llm import bpe, common, exact_dedup, kernel, licenses, minhash, packing, quality_model, quality_rules, queries, secrets, tokens, toxicity, url_filter  # noqa: E402
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -170,7 +170,7 @@ def test_ownership_counts(spark):
             repos[v].add((source, lang))
     for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect():
         text = dict((k, t) for k, t, *_ in rows)[r["doc_id"]]
-        assert {text[s["start"] : s["end"]] for s in r["live"]} == {v for v in re.findall(r"Bearer (\S+)", text) if len(owners[v]) <= 1 and len(repos[v]) <= 2}
+        assert {text[s["start"] : s["end"]] for s in r["live"]} == {v for v in re.findall(r"Bearer (\S+)", text) if len(owners[v]) <= 2 and len(repos[v]) <= 2}
 
 
 def within(seconds, work):
@@ -196,6 +196,8 @@ def test_very_long_texts():
     assert found[:4] == (400_000, 200_000, 0, 399_998)
     text = "x\n".join(f"Bearer abcdefghijklmnopqrst{k:06}" for k in range(50_000))
     assert len(within(10, lambda: secrets._more(text, []))) == 50_000
+    for text in ("-----BEGIN PRIVATE KEY-----" + " " * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" * 40_000, "eyJaaaaaaaa-" * 90_000, "eyJaaaaaaaa." * 90_000, "key-" * 250_000, "key='" * 200_000, "Bearer " * 150_000, "sk-" * 350_000, "BEGIN " * 170_000):
+        within(5, lambda t=text: secrets._more(t, secrets._base(t)))
     assert within(10, lambda: quality_rules.text_counts(pa.array(["a b\n" * 250_000, "x" * 1_000_000])))[:, 0].tolist() == [500_000, 1]
 
 
@@ -222,11 +224,27 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, "http://a.com/en/1"), (None, None), (3, ""), (3, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     for name, query in queries.QUERIES.items():
+        if name in ("op11_divergence", "op13_spelling"):  # rows of theirs are terms and words
+            continue
         key = "page_id" if "url" in name else "doc_id"
         found = sorted(str(r[key]) for r in query(spark, str(tmp_path)).collect())
         assert found == (["3", "3", "None", "None"] if key == "page_id" else ["1", "1", "2", "None", "None"]), name
 
 
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    """100,000 rows without an id, all of one length, don't meet in one task."""
+    monkeypatch.setattr(packing, "BUCKET", 1000)
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a stone of light "), F.col("id") % 50).alias("text"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        for find in (lambda: packing.pack_documents(docs, P.path("byte_bpe_50k.tiktoken")), lambda: minhash.near_duplicates(docs), lambda: exact_dedup.exact_duplicates(docs)):
+            sizes = [r["count"] for r in find().groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 100_000 and len(sizes) > 1 and max(sizes) < 60_000
+    finally:
+        spark.conf.unset(key)
+
+
 def test_labelled_rows_are_bounded(spark):
     docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, quality int")
