@@ -1,7 +1,8 @@
 """Text to sequences: context scan, stop words, look-up, shades, frames.
 
-The scan is one expression per row. Words are then exploded, joined with the dictionary, and put together again by a group-by whose partial
-aggregation leaves one row for each document and task before the shuffle.
+A dictionary that is counted to be small is packed and sent to the executors, which look up a batch's words in place (packed): no row for a word, no
+shuffle. For a larger one words are exploded, joined with it, and put together again by a group-by whose partial aggregation leaves one row for each
+document and task before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, text
 from ..functions.constants import DOMAINS, FRAME_FEATURE, FRAME_ROLE, FRAME_SHADE, FRAMES
-from . import lexicon
+from . import lexicon, packed
 
 
 def frame_entries(words: Column, frames=FRAMES) -> Column:
@@ -30,17 +31,15 @@ def frame_entries(words: Column, frames=FRAMES) -> Column:
     return F.array_compact(F.array(*rows))
 
 
-def words_of(docs: DataFrame, column: str, context: bool = True) -> DataFrame:
-    """(…, pos, word, level, negated, formal): the words of each row that aren't stop words; pos counts stop words."""
+def _words_of(rows: DataFrame, column: str, context: bool) -> DataFrame:
+    """rows with (pos, word, level, negated, formal) of each of their words; a row without words once, with nulls. pos counts stop words."""
     if context:
-        rows = docs.select(*[c for c in docs.columns if c != column], F.posexplode(text.scan_context(F.col(column))).alias("pos", "t")).select("*", "t.*").drop("t")
-    else:
-        rows = docs.select(*[c for c in docs.columns if c != column], F.posexplode(text.tokenize(F.col(column), drop_stop_words=False)).alias("pos", "word"))
-        rows = rows.withColumns({"level": F.lit(None).cast("int"), "negated": F.lit(False), "formal": F.lit(False)})
-    return rows.where(~text.is_stop_word(F.col("word")))
+        return rows.select(*[c for c in rows.columns if c != column], F.posexplode_outer(text.scan_context(F.col(column))).alias("pos", "t")).select("*", "t.*").drop("t")
+    rows = rows.select(*[c for c in rows.columns if c != column], F.posexplode_outer(text.tokenize(F.col(column), drop_stop_words=False)).alias("pos", "word"))
+    return rows.withColumns({"level": F.lit(None).cast("int"), "negated": F.lit(False), "formal": F.lit(False)})
 
 
-def token_rows(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _token_rows(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """words with the token of each (null for unknown words); dictionary as from with_variants()."""
     side = lexicon.joinable(dictionary, dictionary.where("kind = 'text'").select("key", F.struct("word", "addr", "polarity", "formality", "intensity", "related").alias("e")))
     rows = words.join(side, words["word"] == side["key"], "left")
@@ -50,18 +49,29 @@ def token_rows(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.select(*words.columns, F.when(e.isNotNull(), token).alias("token"))
 
 
-def encode(docs: DataFrame, dictionary: DataFrame, id_column: str = "doc_id", column: str = "text", *, context: bool = True) -> DataFrame:
-    """(id, tokens, unknowns) for every row of docs with a distinct id; texts without words give empty arrays."""
-    table = lexicon.prepared(dictionary)
-    rows = token_rows(words_of(docs.select(id_column, column), column, context), table)
-    agg = rows.groupBy(id_column).agg(
-        F.sort_array(F.collect_list("token")).alias("tokens"), F.sort_array(F.collect_list(F.when(F.col("token").isNull(), F.struct("pos", "word")))).alias("unknowns")
+def _by_join(rows: DataFrame, dictionary: DataFrame, context: bool) -> DataFrame:
+    """(id, tokens, unknowns) of rows (id, text), each told apart by a number of its own."""
+    words = _words_of(rows.withColumn("_row", F.monotonically_increasing_id()), "text", context)
+    told = F.col("word").isNotNull() & ~text.is_stop_word(F.col("word"))
+    agg = _token_rows(words, lexicon.prepared(dictionary)).groupBy("_row").agg(
+        F.first("id").alias("id"),
+        F.sort_array(F.collect_list(F.when(told, F.col("token")))).alias("tokens"),
+        F.sort_array(F.collect_list(F.when(told & F.col("token").isNull(), F.struct("pos", "word")))).alias("unknowns"),
     )
-    out = docs.select(id_column).join(agg, id_column, "left")
-    tokens = F.coalesce("tokens", F.expr(f"cast(array() as array<{codec.TOKEN}>)"))
-    out = out.withColumn("tokens", tokens).withColumn("unknowns", F.coalesce(F.transform("unknowns", lambda u: u["word"]), F.expr("cast(array() as array<string>)")))
+    return agg.select("id", "tokens", F.transform("unknowns", lambda u: u["word"]).alias("unknowns"))
+
+
+def encode(docs: DataFrame, dictionary: DataFrame, id_column: str = "doc_id", column: str = "text", *, context: bool = True) -> DataFrame:
+    """(id, tokens, unknowns) for every row of docs; texts without words, and null ones, give empty arrays. Ids may be null or repeated: rows don't meet."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(column).cast("string").alias("text"))
+    sent = lexicon.sent(dictionary)
+    if sent is None:
+        out = _by_join(rows, dictionary, context)
+    else:
+        kind = rows.schema["id"].dataType.simpleString()
+        out = rows.select("id", packed.lexemes(F.col("text"), context).alias("lexemes")).mapInArrow(packed.lookup(sent, context), f"id {kind}, tokens array<{codec.TOKEN}>, unknowns array<string>")
     framed = F.concat(F.col("tokens"), frame_entries(F.transform("tokens", lambda t: F.lower(t["word"]))).cast(f"array<{codec.TOKEN}>"))
-    return out.withColumn("tokens", framed)
+    return out.select(F.col("id").alias(id_column), framed.alias("tokens"), "unknowns")
 
 
 def described(encoded: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, text
 from ..functions.constants import DOMAINS
+from ..plans.shared import workers_see_package
+from . import packed
 
 #: Bytes up to which a dictionary is broadcast: of its strings, and 40 for each row and each relation.
 BROADCAST_BYTES = 64 << 20
@@ -172,17 +174,33 @@ def with_variants(dictionary: DataFrame) -> DataFrame:
 
 
 _BYTES: WeakKeyDictionary = WeakKeyDictionary()
+_SENT: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def joinable(dictionary: DataFrame, part: DataFrame | None = None) -> DataFrame:
-    """part, or all, of a dictionary, with a broadcast hint where the dictionary's bytes are few; they are counted once for each DataFrame."""
+def size_of(dictionary: DataFrame) -> int:
+    """Bytes of a dictionary's strings, and 40 for each row and each relation; counted once for each DataFrame."""
     if dictionary not in _BYTES:
         size = F.lit(40) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in dictionary.columns if c in ("word", "key", "synset")), F.lit(0))
         if "related" in dictionary.columns:
             size = size + 40 * F.greatest(F.size("related"), F.lit(0))
         _BYTES[dictionary] = dictionary.agg(F.sum(size)).first()[0] or 0
+    return _BYTES[dictionary]
+
+
+def joinable(dictionary: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """part, or all, of a dictionary, with a broadcast hint where the dictionary's bytes are few."""
     part = dictionary if part is None else part
-    return F.broadcast(part) if _BYTES[dictionary] <= BROADCAST_BYTES else part
+    return F.broadcast(part) if size_of(dictionary) <= BROADCAST_BYTES else part
+
+
+def sent(dictionary: DataFrame):
+    """The dictionary and its variants as a packed table on the executors, sent once for each DataFrame; None if its bytes aren't few."""
+    if dictionary not in _SENT:
+        table = with_variants(dictionary)
+        workers_see_package(dictionary.sparkSession)
+        few = size_of(table) <= BROADCAST_BYTES
+        _SENT[dictionary] = dictionary.sparkSession.sparkContext.broadcast(packed.pack(table)) if few else None
+    return _SENT[dictionary]
 
 
 def looked_up(rows: DataFrame, column: str, dictionary: DataFrame, mode: str = "text") -> DataFrame:
