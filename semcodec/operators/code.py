@@ -2,29 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, text
 from ..functions.constants import KEYWORDS
 from . import lexicon
+from . import packed
 from .encode import encode, frame_entries
 
 
-def lexemes(sources: DataFrame, column: str = "source") -> DataFrame:
-    """(…, pos, token, kind): comment, string, number, identifier or mark, by the first of these that fits."""
-    rows = sources.select("*", F.posexplode(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(text.LEXEME), F.lit(0))).alias("pos", "token"))
-    t = F.col("token")
+def _kind(t: Column) -> Column:
+    """comment, string, number, identifier or mark, by the first of these that fits."""
     kind = F.when(t.rlike(r"^(#|//|/\*)") & (F.length(t) > F.when(t.startswith("#"), 0).otherwise(1)), "comment").when(t.rlike("""^["'](?s:.*)["']$""") & (F.length(t) > 1), "string")
-    return rows.withColumn("kind", kind.when(t.rlike("^[0-9]"), "number").when(t.rlike("^[A-Za-z_]"), "identifier").otherwise("mark"))
+    return kind.when(t.rlike("^[0-9]"), "number").when(t.rlike("^[A-Za-z_]"), "identifier").otherwise("mark")
 
 
-def encode_code(sources: DataFrame, dictionary: DataFrame, id_column: str = "doc_id", column: str = "source", language: str = "language") -> DataFrame:
-    """(id, tokens, unknowns, structural_count, semantic_count, structural_density, patterns) for rows with distinct ids.
+def _tokens_of(source: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(text.LEXEME), F.lit(0))
 
-    Keywords are looked up as code and then as text words, parts of other identifiers likewise; what a string holds is encoded as
-    text. Comments, numbers and marks are skipped; an unknown language has no keywords.
-    """
+
+def lexemes(sources: DataFrame, column: str = "source") -> DataFrame:
+    """(…, pos, token, kind) of every row's lexemes."""
+    return sources.select("*", F.posexplode(_tokens_of(F.col(column))).alias("pos", "token")).withColumn("kind", _kind(F.col("token")))
+
+
+def _looked_up(rows: DataFrame, sent) -> DataFrame:
+    """rows (id, source, language) -> (id, patterns, tokens, unknowns, structural, semantic), a row at a time in the packed dictionary."""
+    kind = rows.schema["id"].dataType.simpleString()
+    items = F.transform(_tokens_of(F.col("source")), lambda t, i: F.struct(i.alias("pos"), t.alias("token"), _kind(t).alias("kind")))
+    split = rows.select("id", text.detect_patterns(F.col("source")).alias("patterns"), "language", items.alias("items"))
+
+    def parts(x: Column) -> Column:
+        keyword = text.is_keyword(x["token"], F.col("language"))
+        own = F.when(keyword, F.array(x["token"])).otherwise(text.split_identifier(x["token"]))
+        return F.transform(own, lambda w, i: F.struct(x["pos"].alias("pos"), i.alias("sub"), keyword.alias("keyword"), w.alias("part"), F.lower(w).alias("low")))
+
+    def inner(x: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), packed.lexemes(F.substring(x["token"], F.lit(2), F.length(x["token"]) - 2), True).alias("lexemes"))
+
+    names = F.flatten(F.transform(F.filter("items", lambda x: x["kind"] == "identifier"), parts))
+    strings = F.transform(F.filter("items", lambda x: x["kind"] == "string"), inner)
+    found = split.select("id", "patterns", names.alias("names"), strings.alias("strings")).mapInArrow(packed.lookup_code(sent), f"id {kind}, patterns array<string>, names {packed.NAMES}, strings {packed.STRINGS}")
+
+    def framed(s: Column) -> Column:
+        own = F.concat(s["tokens"], frame_entries(F.transform(s["tokens"], lambda t: F.lower(t["word"]))).cast(f"array<{codec.TOKEN}>"))
+        return F.transform(own, lambda t, i: F.struct(s["pos"].alias("pos"), i.alias("sub"), t.withField("pos", s["pos"]).alias("x")))
+
+    missed = lambda s: F.transform(s["unknowns"], lambda u, i: F.struct(s["pos"].alias("pos"), i.alias("sub"), u.alias("x")))
+    placed = lambda field: F.transform(F.filter("names", lambda n: n[field].isNotNull()), lambda n: F.struct(n["pos"].alias("pos"), n["sub"].alias("sub"), n[field].alias("x")))
+    structural = F.size(F.filter("names", lambda n: n["token"].isNotNull() & n["keyword"]))
+    ordered = lambda c: F.transform(F.array_sort(c, lambda a, b: F.coalesce(F.nullif(a["pos"] - b["pos"], F.lit(0)), a["sub"] - b["sub"])), lambda t: t["x"])
+    tokens = ordered(F.concat(placed("token"), F.flatten(F.transform("strings", framed))))
+    unknowns = ordered(F.concat(placed("unknown"), F.flatten(F.transform("strings", missed))))
+    out = found.select("id", "patterns", tokens.alias("tokens"), unknowns.alias("unknowns"), structural.cast("long").alias("structural"))
+    return out.withColumn("semantic", F.size("tokens").cast("long") - F.col("structural"))
+
+
+def _by_join(sources: DataFrame, dictionary: DataFrame, id_column: str, column: str, language: str) -> DataFrame:
+    """The same for a dictionary that isn't small, by joins; ids must be distinct."""
     lex = lexemes(sources.select(id_column, F.col(column).alias("_source"), F.col(language).alias("_language")), "_source").where(F.col("kind").isin("string", "identifier"))
     lex = lex.withColumn("keyword", (F.col("kind") == "identifier") & text.is_keyword(F.col("token"), F.col("_language")))
     table = lexicon.prepared(dictionary)
@@ -59,12 +95,28 @@ def encode_code(sources: DataFrame, dictionary: DataFrame, id_column: str = "doc
     )
     out = sources.select(id_column, text.detect_patterns(F.col(column)).alias("patterns")).join(agg, id_column, "left")
     tokens = F.coalesce(F.transform("tokens", lambda t: t["x"]), F.expr(f"cast(array() as array<{codec.TOKEN}>)"))
-    s, m = F.coalesce("structural_count", F.lit(0)), F.coalesce("semantic_count", F.lit(0))
-    out = out.select(
-        id_column, tokens.alias("tokens"), F.coalesce(F.transform("unknowns", lambda u: u["x"]), F.expr("cast(array() as array<string>)")).alias("unknowns"),
-        s.alias("structural_count"), m.alias("semantic_count"), F.when(s + m > 0, s / (s + m)).otherwise(F.lit(0.0)).alias("structural_density"), "patterns",
+    unknowns = F.coalesce(F.transform("unknowns", lambda u: u["x"]), F.expr("cast(array() as array<string>)"))
+    counts = [F.coalesce(f"{c}_count", F.lit(0)).alias(c) for c in ("structural", "semantic")]
+    return out.select(F.col(id_column).alias("id"), "patterns", tokens.alias("tokens"), unknowns.alias("unknowns"), *counts)
+
+
+def encode_code(sources: DataFrame, dictionary: DataFrame, id_column: str = "doc_id", column: str = "source", language: str = "language") -> DataFrame:
+    """(id, tokens, unknowns, structural_count, semantic_count, structural_density, patterns) for every row.
+
+    Keywords are looked up as code and then as text words, parts of other identifiers likewise; what a string holds is encoded as
+    text. Comments, numbers and marks are skipped; an unknown language has no keywords. Ids may be null or repeated, unless the dictionary is
+    so large that it is joined.
+    """
+    sent = lexicon.sent(dictionary)
+    if sent is None:
+        out = _by_join(sources, dictionary, id_column, column, language)
+    else:
+        out = _looked_up(sources.select(F.col(id_column).alias("id"), F.col(column).alias("source"), F.col(language).alias("language")), sent)
+    s, m = F.col("structural"), F.col("semantic")
+    framed = F.concat("tokens", frame_entries(F.transform("tokens", lambda t: F.lower(t["word"]))).cast(f"array<{codec.TOKEN}>"))
+    return out.select(
+        F.col("id").alias(id_column), framed.alias("tokens"), "unknowns", s.alias("structural_count"), m.alias("semantic_count"), F.when(s + m > 0, s / (s + m)).otherwise(F.lit(0.0)).alias("structural_density"), "patterns",
     )
-    return out.withColumn("tokens", F.concat("tokens", frame_entries(F.transform("tokens", lambda t: F.lower(t["word"]))).cast(f"array<{codec.TOKEN}>")))
 
 
 LANGUAGES = sorted(KEYWORDS)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from semcodec.functions.constants import FORMAL, INTENSITY, NEGATIONS
-from semcodec.operators import encode, lexicon, packed
+from semcodec.operators import code, encode, lexicon, packed
 
 WORDS = ["happy", "dogs", "walked", "the", "a", "House", "tiny", "'", "can't", "n't", "unknownword", "Éclair", "x", "running", "cold", "economy", *FORMAL[:3], *NEGATIONS[:4], *INTENSITY[3][:2], *INTENSITY[2][:2], *INTENSITY[1][:1]]
 
@@ -54,3 +54,21 @@ def test_contexts_of_long_texts(spark):
     found = encode.encode(tokens, lexicon.sample(spark)).first()["tokens"]
     assert len(found) == 60_000 and len({(t["word"], t["shade"]) for t in found}) == 3 and [t["pos"] for t in found[:3]] == [0, 2, 4]
     assert packed.MARKS == ".!?"
+
+
+SNIPPETS = ["def mergeSort(list):\n    return 'very happy dogs. not cold' # comment house", 'int fetchData(String userName) { return "walk"; } /* x */', "for x in map(): loop_over(TreeNode, 12.5, 'economy value buy')", "", None, "\"\"", "unknownThing + otherThing", "function readFile() { if (hot) parse('data file'); }", "'login doctor patient' 'a'"]
+
+
+def test_packed_code_is_the_join(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "\n".join(filter(None, rng.choices(SNIPPETS, k=rng.randint(0, 6)))) if k % 9 else SNIPPETS[k // 9 % len(SNIPPETS)], rng.choice(("python", "java", "javascript", "xx", None))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, language string")
+    own = lexicon.sample(spark).withColumn("formality", F.col("formality"))
+    quick = code.encode_code(docs, own)
+    assert "Exchange" not in quick._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(repr, quick.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(lexicon, "sent", lambda d: None)
+        assert sorted(map(repr, code.encode_code(docs, own).collect())) == found
+    twice = code.encode_code(docs.withColumn("doc_id", F.lit(None).cast("long")), own)
+    assert twice.count() == len(rows) and sum(r["structural_count"] for r in twice.collect()) > 100
