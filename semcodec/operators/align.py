@@ -1,22 +1,22 @@
 """Pair scores and greedy alignment of two sequences, as Columns.
 
-The alignment of one pair is sequential, so it is a fold over the first sequence inside one expression: the state holds which
-tokens of the second are used, the sum, and the matches. Long pairs go through an Arrow function with the same rules (`align_long`).
+The alignment of one pair is sequential, so `align` is a fold over the first sequence inside one expression: the state holds which
+tokens of the second are used, the sum, and the matches. Its time grows faster than the square of the length, so `aligned` and `aligned_score`, which the
+operators take, align a batch of pairs together in Arrow columns by the same rules (kernel).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import codec
-from ..functions.constants import BASE_SCALE, CODE_DOMAINS, OTHER_SCALE, PROFILES
+from ..functions.constants import BASE_SCALE, OTHER_SCALE, PROFILES
 from ..plans.shared import workers_see_package
+from . import kernel
 
 MATCH = "struct<score:double,matches:array<struct<i:int,j:int,score:double>>,unmatched_a:array<int>,unmatched_b:array<int>>"
 
@@ -167,16 +167,34 @@ def align(a: Column, b: Column, p: Profile | str = "base", *, code_aware: bool =
     return F.aggregate(order, start, step, ended)
 
 
+def _profiles(names: pa.Array) -> list[Profile]:
+    own = {x: profile(x) for x in names.unique().to_pylist()}
+    return [own[x] for x in names.to_pylist()]
+
+
+def aligned(a: Column, b: Column, p: Profile | str | Column = "base", *, code_aware: bool = False) -> Column:
+    """MATCH of two sequences of any length, as align() gives it without a bonus; p: a profile, its name, or a column of names."""
+    workers_see_package(SparkSession.active())
+    if isinstance(p, Column):
+        return F.arrow_udf(lambda x, y, names: kernel.matches(x, y, _profiles(names), code_aware), MATCH)(a, b, p)
+    own = profile(p) if isinstance(p, str) else p
+    return F.arrow_udf(lambda x, y: kernel.matches(x, y, [own] * len(x), code_aware), MATCH)(a, b)
+
+
+def aligned_score(a: Column, b: Column, p: Profile | str = "base", *, code_aware: bool = False) -> Column:
+    """aligned()'s score alone."""
+    workers_see_package(SparkSession.active())
+    own = profile(p) if isinstance(p, str) else p
+    return F.arrow_udf(lambda x, y: pa.array(kernel.scores(x, y, [own] * len(x), code_aware)), "double")(a, b)
+
+
 def compare(pairs: DataFrame, a: str = "tokens_a", b: str = "tokens_b", *, profile_name_: str = "auto", bridge: bool = False, code_aware: bool = False) -> DataFrame:
     """pairs with `result`; an automatic profile is chosen for each row."""
     x, y = F.col(a), F.col(b)
     if profile_name_ in PROFILES or profile_name_ == "default" or not bridge:
         name = profile_name_ if profile_name_ in PROFILES else "base"
-        return pairs.withColumn("result", align(x, y, name, code_aware=code_aware))
-    rows = pairs.withColumn("_profile", profile_name(x, y, True, code_aware))
-    pick = F.when(F.col("_profile") == "code_search", align(x, y, "code_search", code_aware=code_aware))
-    pick = pick.when(F.col("_profile") == "topical", align(x, y, "topical", code_aware=code_aware)).otherwise(align(x, y, "sentence", code_aware=code_aware))
-    return rows.withColumn("result", pick).drop("_profile")
+        return pairs.withColumn("result", aligned(x, y, name, code_aware=code_aware))
+    return pairs.withColumn("result", aligned(x, y, profile_name(x, y, True, code_aware), code_aware=code_aware))
 
 
 def explain(a: Column, b: Column, result: Column) -> Column:
@@ -191,86 +209,6 @@ def explain(a: Column, b: Column, result: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def _pair_scores(a: list, b: list, p: Profile, code_aware: bool) -> np.ndarray:
-    """pair_score() of every token of a with every one of b."""
-    x, y = (np.array([(t["addr"], t["shade"]) for t in side], np.int64) for side in (a, b))
-    near = 1 - np.abs(x[:, None, 1] - y[None, :, 1]) / 255.0
-    own, other = x[:, None, 0], y[None, :, 0]
-    score = np.where(own == other, 0.75 + 0.25 * near, np.where(own >> 8 == other >> 8, 0.40 + 0.05 * near, np.where(own >> 16 == other >> 16, 0.25 + 0.05 * near, 0.0)))
-    if code_aware:
-        low, high = CODE_DOMAINS
-        score = np.where((own >> 16 >= low) & (own >> 16 <= high), np.minimum(1.0, 1.5 * score), score)
-    edges = [[list(t["related"]) if t["related"] is not None else [] for t in side] for side in (a, b)]
-    if not any(map(any, edges)):
-        return score
-    related, anti = np.zeros_like(score), np.zeros_like(score)
-    for side, (mine, mine_shade, theirs, theirs_shade) in enumerate(((x[:, 0], x[:, 1], y[:, 0], y[:, 1]), (y[:, 0], y[:, 1], x[:, 0], x[:, 1]))):
-        for i, listed in enumerate(edges[side]):
-            row, opposite = (related[i], anti[i]) if side == 0 else (related[:, i], anti[:, i])
-            for r in listed:
-                if r["type"] == "ANTONYM":
-                    np.maximum(opposite, np.where(theirs == r["addr"], r["weight"] / 255.0 * p.antonym, 0.0), out=opposite)
-                elif r["addr"] >> 16 & 255 != 255:
-                    hit = r["weight"] / 255.0 * p.weight(r["type"]) * p.multiplier
-                    rest = 0.0
-                    if p.hierarchy > 0:
-                        alike = 1 - np.abs(mine_shade[i] - theirs_shade) / 255.0
-                        close = np.where(r["addr"] >> 8 == theirs >> 8, 0.40 + 0.05 * alike, np.where(r["addr"] >> 16 == theirs >> 16, 0.25 + 0.05 * alike, 0.0))
-                        rest = hit * p.hierarchy * close
-                    np.maximum(row, np.where(theirs == r["addr"], hit, rest), out=row)
-    at: dict[int, list[tuple[int, int, float]]] = {}
-    usable = lambda listed: [r for r in listed if r["type"] != "ANTONYM" and r["addr"] >> 16 & 255 != 255]
-    for j, listed in enumerate(edges[1]):
-        for r in usable(listed):
-            at.setdefault(r["addr"], []).append((j, r["weight"], p.weight(r["type"])))
-    for i, listed in enumerate(edges[0]):
-        for r in usable(listed):
-            for j, weight, scale in at.get(r["addr"], ()):
-                related[i, j] = max(related[i, j], min(r["weight"], weight) / 255.0 * min(p.weight(r["type"]), scale) * 0.65 * p.multiplier)
-    return np.maximum(0.0, np.where(score >= 0.75, score, np.maximum(score, related)) - anti)
-
-
-def _long_score(a: list, b: list, p: Profile, code_aware: bool) -> float:
-    n_a, n_b, total = len(a), len(b), 0.0
-    if n_a and n_b:
-        score = _pair_scores(a, b, p, code_aware)
-        if code_aware:
-            score = np.where(score > 0, score + 0.05 * (1 - np.abs(np.arange(n_a)[:, None] / n_a - np.arange(n_b)[None, :] / n_b)), score)
-        for row in score:
-            j = int(row.argmax())
-            if row[j] > 0:
-                total += row[j]
-                score[:, j] = 0
-    if not p.coverage:
-        return total / max(n_a, n_b, 1)
-    if not n_a:
-        return 0.0
-    base = min(1.0, 2 * total / (n_a + n_b) if p.symmetric else total / n_a)
-    if p.lexical > 0:
-        x, y = ({t["word"].lower() for t in side if t["word"]} for side in (a, b))
-        both = len(x & y)
-        base = (1 - p.lexical) * base + p.lexical * ((2 * both / (len(x) + len(y)) if p.symmetric else both / len(x)) if x and y else 0.0)
-    return base
-
-
-def align_long(a: Column, b: Column, p: Profile | str = "base", *, code_aware: bool = False) -> Column:
-    """align()'s score where sequences are long, for any profile: the fold's time grows faster than the square of their length, this one's with it."""
-    p = profile(p) if isinstance(p, str) else p
-    workers_see_package(SparkSession.active())
-
-    @F.pandas_udf(T.DoubleType())
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_long_score(i, j, p, code_aware) for i, j in zip(x, y)], dtype="float64")
-
-    return score(a, b)
-
-
-#: Tokens of a sequence up to which the fold is taken.
-SHORT = 12
-
-
 def align_score(pairs: DataFrame, a: str, b: str, p: Profile | str = "base", *, code_aware: bool = False, out: str = "score") -> DataFrame:
-    """pairs with the score of two sequences: the fold for short ones, align_long() for others."""
-    long = F.greatest(F.size(a), F.size(b)) > SHORT
-    short = pairs.where(~long).withColumn(out, align(F.col(a), F.col(b), p, code_aware=code_aware)["score"])
-    return short.unionByName(pairs.where(long).withColumn(out, align_long(F.col(a), F.col(b), p, code_aware=code_aware)))
+    """pairs with the score of two sequences of any length."""
+    return pairs.withColumn(out, aligned_score(F.col(a), F.col(b), p, code_aware=code_aware))

@@ -391,7 +391,7 @@ def relation_scores(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").select(n.alias("k"), token("one", own, F.array(edge)).alias("a"), token("two", F.lit(q + 2), F.array().cast(lexicon.RELATED)).alias("b"))
     out = None
     for k, name in enumerate(PROFILES):
-        way = align.align(F.col("a"), F.col("b"), name)["score"] if k % 2 else align.align_long(F.col("a"), F.col("b"), name)
+        way = align.align(F.col("a"), F.col("b"), name)["score"] if k % 2 else align.aligned_score(F.col("a"), F.col("b"), name)
         one = rows.select("k", F.lit(name).alias("profile"), F.round(way, 6).alias("score"))
         out = one if out is None else out.union(one)
     return out

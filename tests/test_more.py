@@ -3,14 +3,17 @@
 import json
 import random
 import sys
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from semcodec import cli
 from semcodec.functions import codec, text
 from semcodec.functions.constants import PROFILES, RELATIONS
-from semcodec.operators import align, encode, evaluate, lexicon, senses
+from semcodec.operators import align, encode, evaluate, kernel, lexicon, senses
 from semcodec.sources import readers, writers
 
 
@@ -50,16 +53,70 @@ def test_command_line_build(spark, capsys, tmp_path):
     assert run(capsys, "--dictionary", str(tmp_path / "out"), "inspect", "joyed")[1].startswith("text\tjoyed\tEM000")
 
 
+def sequences(rng, most):
+    edge = lambda: (rng.randrange(2) << 16 | rng.randrange(2) << 8 | rng.randrange(3), rng.randrange(256), rng.choice(RELATIONS), 0)
+    token = lambda: (0, rng.choice(("w1", "w2", "W3", "")), rng.choice((0, 1, 0x20)) << 16 | rng.randrange(2) << 8 | rng.randrange(3), rng.randrange(256), 1, 0, [edge() for _ in range(rng.randrange(3))])
+    return [[token() for _ in range(rng.randrange(most))] for _ in range(2)]
+
+
 @pytest.mark.parametrize("name", PROFILES)
 @pytest.mark.parametrize("code_aware", [False, True])
-def test_long_alignment_is_the_fold(spark, name, code_aware):
+def test_aligned_is_the_fold(spark, name, code_aware):
     rng = random.Random(5)
-    edge = lambda: (rng.randrange(2) << 16 | rng.randrange(2) << 8 | rng.randrange(3), rng.randrange(256), rng.choice(RELATIONS), 0)
-    token = lambda: (0, rng.choice(("w1", "w2", "W3", "")), rng.choice((0, 1, 0x20)) << 16 | rng.randrange(2) << 8 | rng.randrange(3), rng.randrange(256), 1, 0, [edge() for _ in range(rng.randrange(3))])
-    rows = [(k, [token() for _ in range(rng.randrange(6))], [token() for _ in range(rng.randrange(6))]) for k in range(25)]
+    rows = [(k, *sequences(rng, 6)) for k in range(25)]
     pairs = spark.createDataFrame(rows, f"k int, a array<{codec.TOKEN}>, b array<{codec.TOKEN}>")
-    for row in pairs.select(align.align(F.col("a"), F.col("b"), name, code_aware=code_aware)["score"].alias("s"), align.align_long(F.col("a"), F.col("b"), name, code_aware=code_aware).alias("l")).collect():
-        assert row["l"] == pytest.approx(row["s"], abs=1e-9)
+    a, b = F.col("a"), F.col("b")
+    for row in pairs.select(align.align(a, b, name, code_aware=code_aware).alias("fold"), align.aligned(a, b, name, code_aware=code_aware).alias("own"), align.aligned_score(a, b, name, code_aware=code_aware).alias("score")).collect():
+        fold, own = row["fold"].asDict(True), row["own"].asDict(True)
+        assert own.pop("score") == pytest.approx(fold.pop("score"), abs=1e-9) and row["score"] == pytest.approx(row["own"]["score"], abs=1e-12)
+        assert [(m["i"], m["j"]) for m in own.pop("matches")] == [(m["i"], m["j"]) for m in fold.pop("matches")] and own == fold
+
+
+def step_by_step(a, b, p, code_aware):
+    """The greedy alignment of two lists of tokens, one pair at a time."""
+    score = lambda x, y: kernel.class_scores(kernel.Tokens(pa.array([[x]], TOKENS)), np.array([0]), kernel.Tokens(pa.array([[y]], TOKENS)), np.array([0]), p, code_aware)[0, 0]
+    used, out = set(), []
+    for i, x in enumerate(a):
+        best, at = 0.0, None
+        for j, y in enumerate(b):
+            s = score(x, y) if j not in used else 0.0
+            s = s + 0.05 * (1 - abs(i / len(a) - j / len(b))) if code_aware and s > 0 else s
+            best, at = (s, j) if s > best else (best, at)
+        if at is not None:
+            used.add(at)
+            out.append((i, at))
+    return out
+
+
+TOKENS = pa.list_(pa.struct([("addr", pa.int32()), ("shade", pa.int32()), ("word", pa.string()), ("related", pa.list_(pa.struct([("addr", pa.int32()), ("weight", pa.int32()), ("type", pa.string())])))]))
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 200])
+def test_kernel_settles_conflicts_of_any_length(monkeypatch, cells):
+    monkeypatch.setattr(kernel, "CELLS", cells)
+    rng = random.Random(cells)
+    token = lambda: {"addr": rng.randrange(2) << 16 | rng.randrange(3) << 8 | rng.randrange(4), "shade": rng.randrange(4), "word": "w", "related": [{"addr": rng.randrange(4), "weight": 200, "type": rng.choice(("ISA", "ANTONYM"))}] if rng.random() < 0.2 else []}
+    sides = [[[token() for _ in range(rng.choice((0, 1, 3, 12, 30)))] for _ in range(24)] for _ in range(2)]
+    a, b = (pa.array([*side, None], TOKENS) for side in sides)
+    names = [rng.choice(("base", "sentence", "code_search")) for _ in range(25)]
+    profiles = {n: align.profile(n) for n in names}
+    for code_aware in (False, True):
+        found = kernel.matches(a, b, [profiles[n] for n in names], code_aware).to_pylist()
+        assert kernel.scores(a, b, [profiles[n] for n in names], code_aware).tolist() == [m["score"] for m in found]
+        for x, y, n, m in zip(*sides, names, found):
+            own = step_by_step(x, y, profiles[n], code_aware)
+            assert [(k["i"], k["j"]) for k in m["matches"]] == own
+            assert m["unmatched_a"] == sorted(set(range(len(x))) - {i for i, _ in own}) and m["unmatched_b"] == sorted(set(range(len(y))) - {j for _, j in own})
+        assert found[-1] == {"score": 0.0, "matches": [], "unmatched_a": [], "unmatched_b": []}
+
+
+def test_kernel_is_quick():
+    rng = random.Random(1)
+    token = lambda: {"addr": rng.randrange(4) << 16 | rng.randrange(6) << 8 | rng.randrange(8), "shade": rng.randrange(256), "word": "w", "related": []}
+    a, b = (pa.array([[token() for _ in range(150)] for _ in range(400)], TOKENS) for _ in range(2))
+    began = time.process_time()
+    kernel.scores(a, b, [align.profile("base")] * 400, False)
+    assert 400 / (time.process_time() - began) > 326  # pairs a second on one core
 
 
 def test_scores_of_any_length(spark):

@@ -66,7 +66,7 @@ def test_alignment_is_greedy(spark):
     pairs = [(k, seq(), seq()) for k in range(60)]
     token = lambda t: (0, f"w{t[0]}", t[0], t[1], 1, 0, [])
     rows = spark.createDataFrame([(k, [token(t) for t in a], [token(t) for t in b]) for k, a, b in pairs], f"k int, a array<{codec.TOKEN}>, b array<{codec.TOKEN}>")
-    out = rows.select("k", align.align(F.col("a"), F.col("b"))["score"].alias("s"), align.align_long(F.col("a"), F.col("b")).alias("l")).collect()
+    out = rows.select("k", align.align(F.col("a"), F.col("b"))["score"].alias("s"), align.aligned_score(F.col("a"), F.col("b")).alias("l")).collect()
     for row in out:
         expected = greedy(*pairs[row["k"]][1:])
         assert row["s"] == pytest.approx(expected, abs=1e-9) and row["l"] == pytest.approx(expected, abs=1e-9)
