@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Ranges of values that are ranked apart, each in a task of its own.
-RANGES = 64
+from ..plans import shared
+from . import vectors as vector_sums
 
 
 def _before(rows: DataFrame, order: list[str], weight: str, out: str, by: str | None = None) -> DataFrame:
-    """rows with the sum of `weight` over all rows before them in `order`, whose first column is a number; within each value of `by`, a few numbers.
+    """rows with the sum of `weight` over all rows before them in `order`; within each value of `by`, a few numbers.
 
-    Quantiles cut the rows into ranges; a range's rows are summed in order within a task, on top of the sums of the ranges before, which are RANGES numbers.
+    A sample sort on all columns of the order deals the rows to as many ranges of like size as the session has shuffle partitions, so rows with one value are
+    split by what follows it in the order. A range's rows are summed in order within a task, on top of the sums of the ranges before: a number for
+    each range.
     """
-    cuts = sorted({c for c in (rows.agg(F.percentile_approx(order[0], [k / RANGES for k in range(1, RANGES)])).first()[0] or [])})
-    own = F.col(by) if by else F.lit(0)
-    rows = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0))
-    sums: dict[int, dict[int, int]] = {}
-    for group, k, n in rows.groupBy(own.alias("_by"), "_range").agg(F.sum(weight)).collect():
-        sums.setdefault(group, {})[k] = n
-    starts = [F.lit(x) for group, own_sums in sums.items() for k in range(len(cuts) + 1) for x in (f"{group} {k}", sum(own_sums.get(j, 0) for j in range(k)))]
-    start = F.create_map(*starts)[F.concat_ws(" ", own.cast("string"), F.col("_range").cast("string"))] if starts else F.lit(0)
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(own, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn(out, inside + start).drop("_range")
+    spark = rows.sparkSession
+    own = [by] if by else []
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = shared.written(rows.repartitionByRange(many, *own, *order).withColumn("_range", F.spark_partition_id()))
+    sums: dict = {}
+    starts = []
+    for r in sorted(ranged.groupBy("_range", *own).agg(F.sum(weight).alias("_sum")).collect(), key=lambda r: r["_range"]):
+        group = r[by] if by else 0
+        starts.append((r["_range"], group, sums.get(group, 0)))
+        sums[group] = sums.get(group, 0) + r["_sum"]
+    kind = ranged.schema[by].dataType.simpleString() if by else "int"
+    known = F.broadcast(spark.createDataFrame(starts, f"_number int, _by {kind}, _start long"))
+    placed = ranged.join(known, (F.col("_range") == F.col("_number")) & (F.col(by) if by else F.lit(0)).eqNullSafe(F.col("_by")))
+    inside = F.sum(weight).over(Window.partitionBy("_range", *own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn(out, F.coalesce(inside, F.lit(0)) + F.col("_start")).drop("_range", "_number", "_by", "_start")
 
 
 def _average_rank(rows: DataFrame, column: str, out: str, by: str | None = None) -> DataFrame:
@@ -131,9 +137,8 @@ def totals(results: DataFrame, own: str, baseline: str) -> DataFrame:
 
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, id_column: str = "doc_id", word: str = "word", column: str = "embedding") -> DataFrame:
     """(id, vector): the mean of the vectors of a row's words; rows without a known word are left out."""
-    rows = tokens.select(id_column, word).join(vectors.select(word, F.posexplode(column).alias("k", "x")), word)
-    means = rows.groupBy(id_column, "k").agg(F.avg("x").alias("x"))
-    return means.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).select(id_column, F.transform("m", lambda m: m["x"]).alias("vector"))
+    rows = tokens.select(id_column, word).join(vectors.select(word, column), word)
+    return vector_sums.means(rows, id_column, column).withColumnRenamed("mean", "vector")
 
 
 def storage_estimate(bytes_per_token: Column, tokens: int = 12, documents: int = 1_000_000) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..plans import shared
 
 TOP = 16
 
@@ -30,12 +31,13 @@ def top_addresses(encoded: DataFrame, k: int = TOP, id_column: str = "doc_id") -
 
 def fingerprint(encoded: DataFrame, k: int = TOP, id_column: str = "doc_id") -> DataFrame:
     """(id, top, histogram, total, byte_size, fingerprint_bytes), a row for each row of encoded, whose ids are distinct."""
-    counts = address_counts(encoded, id_column)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "addr")))  # a row's distinct addresses
-    tops = counts.groupBy(id_column).agg(ordered.alias("_c"))
-    code = codec.domain_code(F.col("addr"))
-    domains = counts.groupBy(id_column, code.alias("domain")).agg(F.sum("n").cast("int").alias("n")).groupBy(id_column).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("_h"))
-    out = encoded.select(id_column, F.size("tokens").alias("total"), codec.byte_size(F.col("tokens")).alias("byte_size")).join(tops, id_column, "left").join(domains, id_column, "left")
+    tops = address_counts(encoded, id_column).groupBy(id_column).agg(ordered.alias("_c"))
+    out = encoded.select(id_column, F.size("tokens").alias("total"), codec.byte_size(F.col("tokens")).alias("byte_size")).join(tops, id_column, "left")
+    code = lambda c: codec.domain_code(c["addr"])
+    names = F.array_sort(F.array_distinct(F.transform("_c", code)))
+    of = lambda d: F.aggregate(F.filter("_c", lambda c: code(c) == d), F.lit(0), lambda s, c: s - c["n"].cast("int"))
+    out = out.withColumn("_h", F.map_from_arrays(names, F.transform(names, of)))
     top = F.transform(F.slice("_c", 1, k), lambda c: F.struct(codec.address_text(c["addr"]).alias("address"), (-c["n"]).cast("int").alias("n")))
     out = out.withColumns({"top": F.coalesce(top, F.expr("cast(array() as array<struct<address:string,n:int>>)")), "histogram": F.coalesce("_h", F.expr("cast(map() as map<string,int>)"))})
     return out.select(id_column, "top", "histogram", "total", "byte_size").withColumn("fingerprint_bytes", 5 * F.size("top") + 3 * F.size("histogram"))
@@ -60,23 +62,37 @@ def similarity(a: Column, b: Column, histogram_weight: float = 0.5) -> Column:
     return histogram_weight * histogram_cosine(a["histogram"], b["histogram"]) + (1 - histogram_weight) * top_jaccard(a["top"], b["top"])
 
 
+#: Classes of a list that a task compares with as many others, on average.
+PART = 1000
+
+
 def clone_pairs(encoded: DataFrame, threshold: float, k: int = TOP, id_column: str = "doc_id") -> DataFrame:
     """(a, b, jaccard) of distinct pairs of rows whose tops are at least `threshold` alike, over 0.
 
     Rows with the same top are one class first. A class is posted under the rarest addresses of its top only, as many as two
-    such tops can't both lack (prefix filter), so common addresses don't pair everything with everything.
+    such tops can't both lack (prefix filter). Two classes meet at the first address that they have in common there, if their sizes and what is left behind
+    that address allow the threshold. A list of many classes is dealt in parts, each of which meets each in a task of its own, so no list is one task.
     """
-    tops = top_addresses(encoded, k, id_column)
-    sets = tops.groupBy(id_column).agg(F.array_sort(F.collect_set("addr")).alias("set"))  # k addresses at most
-    classes = sets.groupBy("set").agg(F.min(id_column).alias("rep"))
+    sets = top_addresses(encoded, k, id_column).groupBy(id_column).agg(F.array_sort(F.collect_set("addr")).alias("set"))  # k addresses at most
+    classes = shared.written(sets.groupBy("set").agg(F.min(id_column).alias("rep")))
     freq = classes.select(F.explode("set").alias("addr")).groupBy("addr").agg(F.count("*").alias("n"))
-    ranked = classes.select("rep", F.size("set").alias("size"), F.explode("set").alias("addr")).join(freq, "addr")
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("n", "addr")))
-    prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("addr", "rep")
-    pairs = prefix.withColumnRenamed("rep", "ra").join(prefix.withColumnRenamed("rep", "rb"), "addr").where("ra < rb").select("ra", "rb").distinct()
-    x, y = classes.select(F.col("rep").alias("ra"), F.col("set").alias("sa")), classes.select(F.col("rep").alias("rb"), F.col("set").alias("sb"))
-    j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return pairs.join(x, "ra").join(y, "rb").withColumn("jaccard", j).where(F.col("jaccard") >= threshold).select(F.col("ra").alias("a"), F.col("rb").alias("b"), "jaccard")
+    ranked = classes.select("rep", "set", F.explode("set").alias("addr")).join(freq, "addr")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "addr"))), lambda x: x["addr"])
+    ranked = shared.written(ranked.groupBy("rep").agg(order.alias("ordered")))
+    size, at = F.size("ordered"), F.col("at")
+    posted = ranked.select("rep", "ordered", size.alias("size"), F.posexplode("ordered").alias("at", "addr"))
+    posted = posted.where(at < F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
+    parts = posted.groupBy("addr").agg(F.ceil(F.count("*") / PART).alias("parts"), F.count("*").alias("c")).where("c > 1").select("addr", "parts")
+    dealt = posted.join(parts, "addr").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    side = lambda x, mine, other: dealt.withColumn(other, every).select("addr", F.col("own").alias(mine), other, *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "ordered", "size", "at")])
+    both = side("a", "i", "j").join(side("b", "j", "i"), ["addr", "i", "j"]).where("rep_a < rep_b")
+    # both orders are the same, so addresses in common before this one would be in front of it in both
+    first = ~F.arrays_overlap(F.slice("ordered_a", 1, F.col("at_a")), F.slice("ordered_b", 1, F.col("at_b")))
+    most = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
+    fits = (most >= threshold * (F.col("size_a") + F.col("size_b") - most) - 1e-9) & first
+    j = F.size(F.array_intersect("ordered_a", "ordered_b")) / F.size(F.array_union("ordered_a", "ordered_b"))
+    return both.where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), j.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def class_members(encoded: DataFrame, k: int = TOP, id_column: str = "doc_id") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.constants import GRAPH_POLICY
 from ..functions.text import concept_word, plain_word
+from ..plans.shared import workers_see_package
+from . import vectors as vector_sums
 
 #: Lanes of relation types for a balanced choice, and how many edges each may take first.
 LANES = {"lexical": (("SYNONYM", "ANTONYM", "ISA"), 2), "functional": (("PART", "PROPERTY", "USED_FOR", "CAUSES", "ENTAILS", "ROLE"), 1), "associative": (("RELATED", "CONTEXT", "ASSOCIATED", "TOPIC"), 1)}
@@ -41,44 +43,74 @@ def unit(vector: Column) -> Column:
 
 def prototypes(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
     """(key, prototype): the mean of the unit vectors of each key, made a unit vector again."""
-    rows = vectors.select(key, unit(F.col(column)).alias("v")).where("v is not null").select(key, F.posexplode("v").alias("k", "x"))
-    means = rows.groupBy(key, "k").agg(F.avg("x").alias("x"))
-    return means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).select(key, unit(F.transform("m", lambda m: m["x"])).alias("prototype"))
+    return vector_sums.means(vectors, key, column, as_units=True).select(key, unit(F.col("mean")).alias("prototype"))
+
+
+def _best(vectors: pa.Array, own_keys: pa.Array, protos: np.ndarray, keys: pa.Array, place: dict, top_k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, prototype, cosine): the top_k prototypes of each vector but its own key's; the first of equals."""
+    rows, there = vector_sums.units(vector_sums.matrix(vectors))
+    cosine = rows @ protos.T
+    own = np.array([place.get(k, -1) for k in own_keys.to_pylist()], np.int64)
+    cosine[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+    cosine[~there] = -2
+    order = np.argsort(-cosine, axis=1, kind="stable")[:, :top_k]
+    best = np.take_along_axis(cosine, order, 1)
+    at, k = np.nonzero(best >= max(least, -1))
+    return at, order[at, k], best[at, k]
 
 
 def nearest_prototypes(vectors: DataFrame, protos: DataFrame, id_column: str, key: str, *, column: str = "embedding", top_k: int = 4, least: float = 0.28, scale: float = 1.10, most_bytes: int = 256 << 20) -> DataFrame:
-    """(id, key, cosine, score): the best prototypes of each vector but its own key's, of cosine `least` or more; smaller keys first among equals.
+    """(id, key, cosine, score): the best prototypes of each vector but its own key's, of cosine `least` or more; smaller keys first among equals. ids are distinct.
 
-    A batch of vectors is one matrix product with all prototypes, which are sent to the executors; their bytes are checked.
+    A batch of vectors is one matrix product with all prototypes, which are sent to the executors if they have `most_bytes` at most. More of them are split into
+    shards of that size: parts of the vectors meet each shard in a task, and the best of each shard, top_k at most, are merged.
     """
-    known = protos.where("prototype is not null")
+    known = protos.where("prototype is not null").select(F.col(key).alias("_key"), "prototype")
     size = known.agg(F.sum(8 * F.size("prototype"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"prototypes of {size} bytes: split them")
-    table = known.orderBy(key).toArrow()
-    rows = vectors.select(id_column, key, unit(F.col(column)).alias("v")).where("v is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2]) + ", cosine double, score double"
-    if not table.num_rows:
-        return rows.limit(0).select(id_column, key, F.lit(0.0).alias("cosine"), F.lit(0.0).alias("score"))
-    matrix = np.array(table.column("prototype").to_pylist(), np.float64)
-    keys = table.column(key).combine_chunks()
-    sent = rows.sparkSession.sparkContext.broadcast((matrix, keys))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, keys = sent.value
-        place = {k: n for n, k in enumerate(keys.to_pylist())}
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                cosine = np.array(part.column(2).to_pylist(), np.float64) @ matrix.T
-                own = np.array([place.get(k, -1) for k in part.column(1).to_pylist()])
-                cosine[np.flatnonzero(own >= 0), own[own >= 0]] = -2
-                order = np.argsort(-cosine, axis=1, kind="stable")[:, :top_k]
-                best = np.take_along_axis(cosine, order, 1)
-                at, k = np.nonzero(best >= max(least, -1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), keys.take(pa.array(order[at, k])), pa.array(best[at, k]), pa.array(best[at, k] * scale)], [id_column, key, "cosine", "score"])
-
-    return rows.mapInArrow(run, schema)
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(key).alias("_own"), F.col(column).cast("array<double>").alias("_v"))
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _key {known.schema['_key'].dataType.simpleString()}, cosine double"
+    workers_see_package(vectors.sparkSession)
+
+    def found(table: pa.Table | pa.RecordBatch, matrix: np.ndarray, keys: pa.Array, place: dict) -> Iterator[list]:
+        for lo in range(0, table.num_rows, 1000):
+            part = table.slice(lo, 1000)
+            one = lambda c: x.combine_chunks() if isinstance(x := part.column(c), pa.ChunkedArray) else x  # noqa: E731, B023
+            at, k, cosine = _best(one("_v"), one("_own"), matrix, keys, place, top_k, least)
+            yield [one("_id").take(pa.array(at)), keys.take(pa.array(k)), pa.array(cosine)]
+
+    if size <= most_bytes:
+        table = known.orderBy("_key").toArrow().combine_chunks()
+        keys = table.column("_key").combine_chunks() if table.num_rows else table.column("_key")
+        sent = rows.sparkSession.sparkContext.broadcast((np.array(table.column("prototype").to_pylist(), np.float64), keys))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix, keys = sent.value
+            place = {k: n for n, k in enumerate(keys.to_pylist())}
+            for b in batches:
+                for columns in found(b, matrix, keys, place):
+                    yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "cosine"])
+
+        out = rows.limit(0).select("_id", F.col("_own").alias("_key"), F.lit(0.0).alias("cosine")) if not table.num_rows else rows.mapInArrow(run, schema)
+    else:
+        shards, zero = -(-size // most_bytes), F.lit(0).cast("long")
+        parts = max(1, -(-(rows.agg(F.sum(8 * F.size("_v"))).first()[0] or 0) // most_bytes), rows.sparkSession.sparkContext.defaultParallelism)
+        every = lambda n: F.explode(F.sequence(zero, F.lit(n).cast("long") - 1))
+        left = rows.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts))).withColumn("shard", every(shards))
+        right = known.withColumn("shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).withColumn("part", every(parts))
+
+        def task(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            theirs = theirs.sort_by("_key")
+            empty = pa.table({"_id": mine.column("_id").slice(0, 0), "_key": theirs.column("_key").slice(0, 0), "cosine": pa.array([], pa.float64())})
+            if not mine.num_rows or not theirs.num_rows:
+                return empty
+            keys = theirs.column("_key").combine_chunks()
+            matrix = np.array(theirs.column("prototype").to_pylist(), np.float64)
+            return pa.concat_tables([empty, *(pa.table(dict(zip(empty.column_names, c))) for c in found(mine, matrix, keys, {k: n for n, k in enumerate(keys.to_pylist())}))])
+
+        each = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(task, schema)
+        best = Window.partitionBy("_id").orderBy(F.desc("cosine"), "_key")
+        out = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top_k)
+    return out.select(F.col("_id").alias(id_column), F.col("_key").alias(key), "cosine", (F.col("cosine") * scale).alias("score"))
 
 
 def associations(adjacency: DataFrame, names: DataFrame, dictionary: DataFrame | None = None, *, kind: str = "ASSOCIATED", least: float = 2.0, scale: float = 0.12, reverse: float = 0.65, top_k: int = 4, fill_only: DataFrame | None = None) -> DataFrame:

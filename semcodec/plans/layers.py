@@ -1,11 +1,13 @@
 """Content-addressed layers, and the build of a dictionary from them.
 
-A layer is a Parquet table in a folder named by its input's hash; reading one of another version or hash is a miss. It is complete
-once Spark has put its _SUCCESS file there, so a broken write is a miss as well.
+A layer is a Parquet table in a folder named by its input's hash; reading one of another version or hash is a miss. It is written to a folder of its own
+and renamed, with a note of its files' lengths, its rows and their hash; what doesn't agree with the note (a part cut off or missing) is a miss.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, lexicon
+from . import shared
 
 VERSION = 1
+#: What is noted of a layer; Spark doesn't read files of such names.
+NOTE = "_layer.json"
 
 
 def rows_hash(rows: DataFrame) -> str:
@@ -38,13 +43,44 @@ class LayerCache:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def read(self, layer: str, key: str) -> DataFrame | None:
-        fs, where = self._fs(self.path(layer, key) + "/_SUCCESS")
-        return self.spark.read.parquet(self.path(layer, key)) if fs.exists(where) else None
+    def _lengths(self, folder: str) -> dict[str, int]:
+        fs, where = self._fs(folder)
+        return {x.getPath().getName(): x.getLen() for x in fs.listStatus(where) if x.getPath().getName().startswith("part-")}
+
+    def _agrees(self, folder: str, thorough: bool) -> bool:
+        fs, where = self._fs(f"{folder}/{NOTE}")
+        if not fs.exists(where):
+            return False
+        try:
+            note = json.loads(shared.text_of(self.spark, f"{folder}/{NOTE}"))
+            if note["files"] != self._lengths(folder):
+                return False
+            rows = self.spark.read.parquet(folder)
+            return rows.count() == note["rows"] and (not thorough or rows_hash(rows) == note["hash"])
+        except Exception:  # whatever can't be read is a miss
+            return False
+
+    def read(self, layer: str, key: str, thorough: bool = False) -> DataFrame | None:
+        """The layer, if all its files are there at their lengths with the rows noted (thorough: and hash as noted)."""
+        folder = self.path(layer, key)
+        return self.spark.read.parquet(folder) if self._agrees(folder, thorough) else None
 
     def write(self, layer: str, key: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self.path(layer, key))
-        return self.spark.read.parquet(self.path(layer, key))
+        """Written beside its place and moved there. If another writer was first, theirs stays; a layer that doesn't agree with its note is replaced."""
+        folder, own = self.path(layer, key), f"{self.path(layer, key)}-{uuid.uuid4().hex}"
+        rows.write.parquet(own)
+        written = self.spark.read.schema(rows.schema).parquet(own)
+        shared.put(self.spark, f"{own}/{NOTE}", json.dumps({"files": self._lengths(own), "rows": written.count(), "hash": rows_hash(written)}))
+        fs, target = self._fs(folder)
+        _, source = self._fs(own)
+        if fs.exists(target) and not self._agrees(folder, False):
+            fs.delete(target, True)
+        if not fs.exists(target):
+            fs.rename(source, target)  # into the folder, where another writer has just made it
+            _, inside = self._fs(f"{folder}/{own.rsplit('/', 1)[1]}")
+            fs.delete(inside, True)
+        fs.delete(source, True)
+        return self.spark.read.parquet(folder)
 
     def forget(self, layer: str, key: str) -> None:
         fs, where = self._fs(self.path(layer, key))

@@ -63,6 +63,16 @@ def put(spark: SparkSession, path: str, body: str) -> str:
     return path
 
 
+def text_of(spark: SparkSession, path: str) -> str:
+    """What put() wrote."""
+    files, where = _files(spark, path)
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, where = _files(spark, path)
     return files.exists(where)
