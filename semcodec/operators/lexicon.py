@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, text
 from ..functions.constants import DOMAINS
+from ..plans import shared
 from ..plans.shared import workers_see_package
 from . import packed
 
@@ -196,7 +197,7 @@ def joinable(dictionary: DataFrame, part: DataFrame | None = None) -> DataFrame:
 def sent(dictionary: DataFrame):
     """The dictionary and its variants as a packed table on the executors, sent once for each DataFrame; None if its bytes aren't few."""
     if dictionary not in _SENT:
-        table = with_variants(dictionary)
+        table = shared.written(with_variants(dictionary))
         workers_see_package(dictionary.sparkSession)
         few = size_of(table) <= BROADCAST_BYTES
         _SENT[dictionary] = dictionary.sparkSession.sparkContext.broadcast(packed.pack(table)) if few else None

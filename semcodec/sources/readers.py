@@ -6,7 +6,7 @@ import ast
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -173,7 +173,17 @@ def vector_text(spark: SparkSession, path: str, words: DataFrame | None = None)
     return out if words is None else out.join(words.select("word").distinct(), "word", "left_semi")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value) of a file's lines, numbered from 0, however many splits it is read in: a line's place within its split, and the lines of the splits before."""
+    block = ["file", "start"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    rows = shared.written(rows)
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = rows.groupBy(*block).agg(F.count("*").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy(*block).orderBy("at")) - 1
+    return rows.withColumn("own", own).join(starts, block).select((F.col("first") + F.col("own")).cast("int").alias("id"), "value")
+
+
 def association_graph(spark: SparkSession, names: str, adjacency: str) -> tuple[DataFrame, DataFrame]:
     """names (id, word), where id is the line's number from 0, and adjacency (src, dst, weight)."""
-    body = spark.read.text(names, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("id", "word"))
-    return body, spark.read.schema("src int, dst int, weight double").csv(adjacency, sep="\t")
+    return numbered_lines(spark, names).select("id", F.col("value").alias("word")), spark.read.schema("src int, dst int, weight double").csv(adjacency, sep="\t")

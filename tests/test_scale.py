@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from semcodec.functions import codec
 from semcodec.operators import evaluate, fingerprint, graph, vectors
 from semcodec.plans import layers
+from semcodec.sources import readers
 
 
 def test_rows_of_one_value_are_split(spark):
@@ -93,3 +94,16 @@ def test_the_first_of_two_writers_stays(spark, tmp_path):
     (folder / "k" / layers.NOTE).write_text("broken")
     assert cache.read("x", "k") is None and cache.write("x", "k", second).count() == 7
     assert not any(p.is_dir() for p in (folder / "k").iterdir())
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"name {k} " + "x" * (k % 90) for k in range(3000)]
+    (tmp_path / "names.txt").write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "40000")
+    try:
+        assert spark.read.text(str(tmp_path / "names.txt")).rdd.getNumPartitions() >= 3
+        found = {r["id"]: r["value"] for r in readers.numbered_lines(spark, str(tmp_path / "names.txt")).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert found == dict(enumerate(lines))
