@@ -101,9 +101,13 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
 
 
+def spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_spelling(spark, sf_dir).select("word", "root", F.coalesce("form", F.lit("")).alias("form"), "n", "n_near", F.coalesce("form_n", F.lit(-1)).alias("form_n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, op12_ngram_join, op13_spelling, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip)
+    for f in (op1_bpe, op2_quality, op3_url_filter, op4_packing, op5_secrets, op6_minhash, op7_toxicity, op8_licenses, op9_quality_rules, op10_exact_dedup, op11_divergence, op12_ngram_join, op13_spelling, url_rules, secret_base_spans, license_phrases, quality_counts, bpe_round_trip, spelling_forms)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -213,3 +217,4 @@ ORACLE_SQL = {
         e AS (SELECT w.word, last AS root FROM w JOIN f ON f.word = w.last WHERE form IS NULL)
         SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
 }
+ORACLE_SQL["spelling_forms"] = f"SELECT word, root, coalesce(form, '') AS form, n, n_near, coalesce(form_n, -1) AS form_n FROM ({ORACLE_SQL['op13_spelling']})"
