@@ -17,9 +17,9 @@ from .streaming import encode as streams
 
 
 def _text_file(rows: DataFrame, line, *order: str, **options) -> str:
-    """A folder with one file of lines, in order."""
+    """A folder of files of lines, one for each partition; one file if the lines have an order."""
     path = shared.folder(rows.sparkSession)
-    rows.orderBy(*order).coalesce(1).select(line.alias("value")).write.options(**options).text(path)
+    (rows.orderBy(*order).coalesce(1) if order else rows).select(line.alias("value")).write.options(**options).text(path)
     return path
 
 
@@ -110,15 +110,15 @@ def source_files(spark, sf_dir):
     return rows.select("name", F.length("content").cast("long").alias("n"), F.coalesce(text.language_of(F.col("name")), F.lit("")).alias("language"), text.language_of_source(F.col("content")).alias("guess"))
 
 
-@_query("""SELECT kind, p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size::DOUBLE AS gold FROM part, (SELECT unnest(['words', 'sentences', 'relatedness']) AS kind) WHERE p_partkey <= 40""")
+@_query("""SELECT kind, p_partkey AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size::DOUBLE AS gold FROM part, (SELECT unnest(['words', 'sentences', 'relatedness']) AS kind)""")
 def evaluation_files(spark, sf_dir):
     """Word pairs, sentence pairs and relatedness pairs of tab-separated files."""
-    part = _table(spark, sf_dir, "part").where("p_partkey <= 40").select("p_partkey", F.substring_index("p_name", " ", 1).alias("a"), F.get(F.split("p_name", " "), F.lit(1)).alias("b"), "p_size")
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("a"), F.get(F.split("p_name", " "), F.lit(1)).alias("b"), "p_size")
     key = F.concat("a", F.lit("~"), "p_partkey")
     k = F.col("p_partkey")
-    words = readers.word_pairs(spark, _text_file(part, F.when(k == 1, F.concat(F.lit("# note\n"), _lines(key, F.col("b"), F.col("p_size")))).otherwise(_lines(key, F.col("b"), F.col("p_size"))), "p_partkey"))
-    sentences = readers.sentence_pairs(spark, _text_file(part, _lines(F.col("p_size"), key, F.col("b")), "p_partkey"))
-    related = readers.relatedness_pairs(spark, _text_file(part, F.when(k == 1, F.concat(F.lit("id\ta\tb\tscore\n"), _lines(k, key, F.col("b"), F.col("p_size")))).otherwise(_lines(k, key, F.col("b"), F.col("p_size"))), "p_partkey"))
+    words = readers.word_pairs(spark, _text_file(part, F.when(k == 1, F.concat(F.lit("# note\n"), _lines(key, F.col("b"), F.col("p_size")))).otherwise(_lines(key, F.col("b"), F.col("p_size")))))
+    sentences = readers.sentence_pairs(spark, _text_file(part, _lines(F.col("p_size"), key, F.col("b"))))
+    related = readers.relatedness_pairs(spark, _text_file(part, F.when(k == 1, F.concat(F.lit("id\ta\tb\tscore\n"), _lines(k, key, F.col("b"), F.col("p_size")))).otherwise(_lines(k, key, F.col("b"), F.col("p_size")))))
     out = words.withColumn("kind", F.lit("words")).union(sentences.withColumn("kind", F.lit("sentences"))).union(related.withColumn("kind", F.lit("relatedness")))
     return out.select("kind", F.substring_index("a", "~", -1).cast("long").alias("k"), F.substring_index("a", "~", 1).alias("a"), "b", "gold")
 
@@ -129,7 +129,7 @@ _CLONES = "c AS (SELECT l.doc_id AS a, b.doc_id AS b, quality AS label FROM labe
 def _clones(spark, sf_dir, first=None):
     functions = shared.folder(spark)
     _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("idx"), F.col("text").alias("func")).write.json(functions)
-    pairs = _text_file(_table(spark, sf_dir, "labels"), _lines(F.col("doc_id"), F.col("doc_id") + 1, F.col("quality")), "doc_id")
+    pairs = _text_file(_table(spark, sf_dir, "labels"), _lines(F.col("doc_id"), F.col("doc_id") + 1, F.col("quality")), *(["doc_id"] if first else []))
     return readers.clone_corpus(spark, functions, pairs, first=first)
 
 
@@ -149,13 +149,21 @@ def balanced_clones(spark, sf_dir):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("id_a", "id_b").alias("n_different"), F.sum("known").alias("n_of_corpus"))
 
 
-@_query("WITH r AS (SELECT p_name, p_type, row_number() OVER (ORDER BY p_partkey) - 1 AS j FROM part WHERE p_partkey <= 60) SELECT j, p_name AS doc, p_type AS code FROM r WHERE j < 25")
+_OF_FILE = 1000
+
+
+@_query(f"""SELECT p_partkey // {_OF_FILE} AS file, row_number() OVER (PARTITION BY p_partkey // {_OF_FILE} ORDER BY p_partkey) - 1 AS j, p_name || ' {{"a\\": "}}' AS doc, p_type AS code FROM part""")
 def code_search_file(spark, sf_dir):
-    path = shared.folder(spark)
-    part = _table(spark, sf_dir, "part").where("p_partkey <= 60")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))), lambda x: F.struct(x["p_name"].alias("doc"), x["p_type"].alias("code")))
-    part.agg(F.to_json(listed).alias("value")).coalesce(1).write.text(path)
-    return readers.code_search_records(spark, path, 25).select("j", "doc", "code")
+    """Records of files that are each one JSON array, over several lines, with braces and quotes in strings and objects within objects."""
+    path, k = shared.folder(spark), F.col("p_partkey")
+    part = _table(spark, sf_dir, "part").withColumn("file", F.floor(k / _OF_FILE))
+    ends = part.groupBy("file").agg(F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+    record = F.to_json(F.struct(F.concat("p_name", F.lit(' {"a\\": "}')).alias("doc"), F.struct(F.struct(F.lit("}").alias("y")).alias("x")).alias("more"), F.col("p_type").alias("code")))
+    line = F.concat(F.when(k == F.col("first"), "[").otherwise(""), record, F.when(k == F.col("last"), "]").otherwise(","))
+    lines = part.join(ends, "file").select("file", "p_partkey", line.alias("value")).repartition("file").sortWithinPartitions("file", "p_partkey")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    found = readers.json_array(spark, f"{path}/*/", "doc string, code string")
+    return found.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("file"), "j", "r.doc", "r.code")
 
 
 @_query(f"WITH {_EDGES} SELECT word, type, addr, round(score, 4) AS score FROM e")
@@ -166,18 +174,20 @@ def assertion_file(spark, sf_dir):
     uri = lambda k: F.concat(F.lit("/c/en/"), F.get(F.split("p_name", " "), F.lit(k)))
     weight = F.to_json(F.struct(F.col("p_size").cast("double").alias("weight")))
     line = F.concat(_lines(F.lit("/a"), rel, uri(0), uri(1), weight), F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("\nbad line\n"), _lines(F.lit("/a"), F.lit("/r/Other"), uri(0), uri(1), weight), F.lit("\n"), _lines(F.lit("/a"), rel, F.lit("/c/de/hund"), uri(1), weight))).otherwise(""))
-    return graph.aggregate_edges(readers.assertions(spark, _text_file(part, line, "p_partkey", compression="gzip")), lexicon.sample(spark)).withColumn("score", F.round("score", 4))
+    return graph.aggregate_edges(readers.assertions(spark, _text_file(part, line, compression="gzip")), lexicon.sample(spark)).withColumn("score", F.round("score", 4))
 
 
-@_query("SELECT 'w ' || vec_id AS word, len(embedding) AS n, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings WHERE vec_id % 3 = 0")
+@_query("SELECT 'w ' || vec_id AS word, len(embedding) AS n, round(embedding[1]::DOUBLE, 5) AS first, vec_id % 3 = 0 AS asked FROM embeddings")
 def vector_file(spark, sf_dir):
-    """Vectors of a text file, of some words only."""
+    """Vectors of text files, and which of them are there when some words only are asked for."""
     rows = _table(spark, sf_dir, "embeddings")
     word = F.concat(F.lit("/c/en/w_"), F.col("vec_id").cast("string"))
     line = F.concat_ws(" ", word, F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), " "))
-    path = _text_file(rows, F.concat(F.when(F.col("vec_id") == 0, "9 9\nzero 0 0 0\nbad 1 x 2\n").otherwise(""), line), "vec_id")
+    path = _text_file(rows, F.concat(F.when(F.col("vec_id") == 0, "9 9\nzero 0 0 0\nbad 1 x 2\n").otherwise(""), line))
     words = rows.where("vec_id % 3 = 0").select(F.concat(F.lit("w "), F.col("vec_id").cast("string")).alias("word"))
-    return readers.vector_text(spark, path, words).select("word", F.size("embedding").cast("long").alias("n"), F.round(F.col("embedding")[0], 5).alias("first"))
+    some = readers.vector_text(spark, path, words).select("word", F.lit(True).alias("asked"))
+    found = readers.vector_text(spark, path).join(some, "word", "left")
+    return found.select("word", F.size("embedding").cast("long").alias("n"), F.round(F.col("embedding")[0], 5).alias("first"), F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
 _ASSOCIATED = f"""{_LEX}, n AS (SELECT row_number() OVER (ORDER BY word) - 1 AS id, word, addr FROM lex WHERE kind = 'text'), a AS (SELECT p_partkey % (SELECT count(*) FROM n) AS src, (p_partkey * 7 + p_size) % (SELECT count(*) FROM n) AS dst, p_size % 6 AS w FROM part),
@@ -192,7 +202,7 @@ def association_file(spark, sf_dir):
     names = _text_file(words, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)")), "word")
     n = words.count()
     part = _table(spark, sf_dir, "part")
-    adjacency = _text_file(part, _lines(F.col("p_partkey") % n, (F.col("p_partkey") * 7 + F.col("p_size")) % n, F.col("p_size") % 6), "p_partkey")
+    adjacency = _text_file(part, _lines(F.col("p_partkey") % n, (F.col("p_partkey") * 7 + F.col("p_size")) % n, F.col("p_size") % 6))
     table, pairs = readers.association_graph(spark, names, adjacency)
     done = words.where("word in ('hot', 'cold', 'red')").select("word")
     edges = graph.associations(pairs, table, lexicon.sample(spark), kind="ASSOC", fill_only=done)

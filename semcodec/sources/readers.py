@@ -151,10 +151,45 @@ def balanced_pairs(pairs: DataFrame, n: int = 1500, seed: int = 0) -> DataFrame:
     return half(1).union(half(0)).orderBy(F.xxhash64(F.lit(seed + 1), "id_a", "id_b"), "id_a", "id_b")
 
 
+def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows (file, start, at, ...) with name: the sum of value over the rows before it in its file; within a split by its order, and over splits by a row for each."""
+    own = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("file", "start").agg(F.sum(value).alias("_n")).select("file", "start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    return rows.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0))).join(starts, ["file", "start"]).withColumn(name, F.col(name) + F.col("_first")).drop("_first")
+
+
+def _pieces(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, start, at, value): the lines, or other pieces, of files with their split and their order in it, written so that the order stays."""
+    rows = spark.read.options(**options).text(path)
+    return shared.written(rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")))
+
+
+def json_array(spark: SparkSession, path: str, schema: str, n: int | None = None) -> DataFrame:
+    """(file, j, r) of files that are each one JSON array of objects, the first n of each: the object's place from 0 and the object; a file is read in splits.
+
+    Pieces end at a closing brace. Whether one is in a string follows from the quotes before it, which objects it closes from the braces outside of strings; both
+    are sums over the pieces before. So only an object's own pieces meet in a row. Objects within objects are part of them; what isn't valid is null.
+    """
+    body = F.regexp_replace("value", r"(?s)\\.", "")  # no escape goes over a piece's end
+    odd = F.pmod(F.length(body) - F.length(F.replace(body, F.lit('"'), F.lit(""))), F.lit(2))
+    rows = _before(_pieces(spark, path, lineSep="}").withColumn("odd", odd), F.col("odd"), "quotes")
+    within = F.pmod("quotes", F.lit(2)) == 1
+    outside = F.regexp_replace(F.concat(F.when(within, '"').otherwise(""), body), r'(?s)"[^"]*("|$)', "")
+    opened = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+    closes = (F.pmod(F.col("quotes") + F.col("odd"), F.lit(2)) == 0).cast("int")
+    rows = _before(rows.withColumn("opened", opened).withColumn("closes", closes), F.col("opened") - F.col("closes"), "depth")
+    ends = (F.col("closes") == 1) & (F.col("depth") + F.col("opened") == 1)
+    rows = _before(rows.withColumn("ends", ends.cast("int")), F.col("ends"), "j").select("file", "j", "start", "at", "value", "ends")
+    rows = rows if n is None else rows.where(F.col("j") < n)
+    whole = rows.groupBy("file", "j").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value"))).alias("p"), F.max("ends").alias("whole")).where("whole = 1")
+    text = F.concat(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["value"]), "}"), r"^[\s,\[\x{FEFF}]+", ""), F.lit("}"))
+    return whole.select("file", "j", F.from_json(text, schema).alias("r"))
+
+
 def code_search_records(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """(j, doc, code) of a JSON array, the first n of it."""
-    body = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<doc:string,code:string>>")).alias("j", "r")).select("j", "r.*")
-    return body if n is None else body.where(F.col("j") < n)
+    """(j, doc, code) of a JSON array of objects, the first n of it."""
+    return json_array(spark, path, "doc string, code string", n).select("j", "r.doc", "r.code")
 
 
 def assertions(spark: SparkSession, path: str) -> DataFrame:
@@ -175,13 +210,8 @@ def vector_text(spark: SparkSession, path: str, words: DataFrame | None = None)
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(id, value) of a file's lines, numbered from 0, however many splits it is read in: a line's place within its split, and the lines of the splits before."""
-    block = ["file", "start"]
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    rows = shared.written(rows)
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
-    starts = rows.groupBy(*block).agg(F.count("*").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy(*block).orderBy("at")) - 1
-    return rows.withColumn("own", own).join(starts, block).select((F.col("first") + F.col("own")).cast("int").alias("id"), "value")
+    rows = _before(_pieces(spark, path), F.lit(1), "id")
+    return rows.select(F.col("id").cast("int").alias("id"), "value")
 
 
 def association_graph(spark: SparkSession, names: str, adjacency: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Ranks, means, prototypes, clones and layers where a value, a list or a file is large or broken."""
 
+import json
 import random
 
 import numpy as np
@@ -107,3 +108,24 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset(key)
     assert found == dict(enumerate(lines))
+
+
+def test_objects_of_an_array_over_splits(spark, tmp_path):
+    rng = random.Random(4)
+    odd = ["}", "{", '"', "\\", "\\\\", '\\"', "[", "]", ",", "a", "é", "\n", " "]
+    word = lambda: "".join(rng.choice(odd) for _ in range(rng.randrange(12)))
+    rows = [{"doc": word(), "x": {"y": [{"z": word()}, {}]}, "code": word()} if k % 7 else {"doc": None} if k % 2 else {} for k in range(2000)]
+    forms = {"one line": json.dumps(rows), "many lines": "\ufeff" + json.dumps(rows, indent=2, ensure_ascii=False) + "\n", "none": "[]\n", "one": json.dumps([rows[1]])}
+    for name, body in forms.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "20000")
+    try:
+        for name, body in forms.items():
+            path = str(tmp_path / f"{name}.json")
+            own = [(k, r.get("doc"), r.get("code")) for k, r in enumerate(json.loads(body.lstrip("\ufeff")))]
+            assert len(own) < 2000 or spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() >= 3
+            assert sorted(map(tuple, readers.code_search_records(spark, path).collect()), key=lambda r: r[0]) == own
+            assert sorted(map(tuple, readers.code_search_records(spark, path, 5).collect()), key=lambda r: r[0]) == own[:5]
+    finally:
+        spark.conf.unset(key)
