@@ -171,3 +171,10 @@ CODE_PATTERNS = {
     "auth-token": r"\b(auth|token|jwt|oauth|login|password|session|cookie|bearer)\b",
     "test-assert": r"\b(assert|expect|should|describe|it\s*\(|test\s*\(|context\s*\(|setup|teardown)\b",
 }
+
+# --- fixed values: SENSE_RELATIONS, a synset's relations to broader ones, narrower ones and derived forms by its part of speech (noun, verb, adjective, satellite, adverb), in order
+SENSE_RELATIONS = {
+    "up": {"n": "hypernym instance_hypernym", "v": "hypernym instance_hypernym verb_group", "as": "similar antonym pertainym derived", "r": "pertainym derived"},
+    "down": {"nv": "hyponym instance_hyponym", "as": "also similar"},
+    "derived": {"nvasr": "derived"},
+}

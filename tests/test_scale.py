@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semcodec.functions import codec
-from semcodec.operators import evaluate, fingerprint, graph, vectors
+from semcodec.operators import evaluate, fingerprint, graph, senses, vectors
 from semcodec.plans import layers
 from semcodec.sources import readers
 
@@ -129,3 +129,34 @@ def test_objects_of_an_array_over_splits(spark, tmp_path):
             assert sorted(map(tuple, readers.code_search_records(spark, path, 5).collect()), key=lambda r: r[0]) == own[:5]
     finally:
         spark.conf.unset(key)
+
+
+def test_edges_of_senses_are_shuffled_once(spark):
+    edges = spark.range(5000).select(F.col("id").cast("string").alias("synset"), F.floor(F.col("id") / 3).cast("string").alias("neighbor"), F.lit(0).alias("n"))
+    last = spark.range(40).select(F.col("id").cast("string").alias("synset"), F.col("id").cast("int").alias("addr"))
+    own = senses.placed(edges)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = senses.step(own, last)._jdf.queryExecution().sparkPlan().toString()
+        prepared = senses.step(own, last)._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in prepared and "RepartitionByExpression" not in plan
+        above = prepared.split("InMemoryRelation")[0]
+        assert above.count("hashpartitioning(neighbor") == 1  # of last alone
+        assert {r["synset"]: r["addr"] for r in senses.step(own, last).collect()} == {str(k): k // 3 for k in range(120)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        own.unpersist()
+
+
+def test_relations_by_part_of_speech(spark):
+    parts = spark.createDataFrame([("n1", "n"), ("v1", "v"), ("a1", "a"), ("s1", "s"), ("r1", "r"), ("x1", None)], "synset string, pos string")
+    names = ("hypernym", "instance_hypernym", "verb_group", "similar", "antonym", "pertainym", "derived", "hyponym", "instance_hyponym", "also", "other", None)
+    relations = spark.createDataFrame([(s, f"{r}{k}", r, 9 - k) for s in ("n1", "v1", "a1", "s1", "r1", "x1", "zz") for r in names for k in range(2)], "synset string, neighbor string, relation string, place int")
+    found = {}
+    for r in senses.network(relations, parts).orderBy("synset", "kind", "n").collect():
+        found.setdefault((r["synset"], r["kind"]), []).append((r["neighbor"], r["branch"]))
+    of = lambda *names: [(f"{r}{k}", 1 - k) for r in names for k in (1, 0)]
+    adjective = {"up": of("similar", "antonym", "pertainym", "derived"), "down": of("also", "similar")}
+    expected = {"n1": {"up": of("hypernym", "instance_hypernym"), "down": of("hyponym", "instance_hyponym")}, "v1": {"up": of("hypernym", "instance_hypernym", "verb_group"), "down": of("hyponym", "instance_hyponym")}, "a1": adjective, "s1": adjective, "r1": {"up": of("pertainym", "derived")}}
+    assert found == {(s, kind): rows for s, kinds in expected.items() for kind, rows in (kinds | {"derived": of("derived")}).items()}
+    assert senses.network(relations.limit(0), parts).count() == 0
