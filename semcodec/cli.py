@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import codec
-from .operators import align, code, encode, lexicon, search
+from .functions import codec, text
+from .operators import align, code, encode, lexicon, reports, search
 from .plans import layers, shared
 from .sources import readers, writers
 
@@ -20,7 +20,7 @@ def _dictionary(spark: SparkSession, args: argparse.Namespace):
 def _encoded(spark: SparkSession, args: argparse.Namespace, *texts: str):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     if args.language:
-        return code.encode_code(rows.withColumn("language", F.lit(args.language)), _dictionary(spark, args), column="text")
+        return code.encode_code(rows.withColumn("language", F.lit(args.language)), _dictionary(spark, args), column="text").withColumn("language", F.lit(args.language))
     return encode.encode(rows, _dictionary(spark, args))
 
 
@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("text", nargs="?")
     p.add_argument("--file")
     p.add_argument("--format", choices=["text", "hex", "json"], default="text")
+    p.add_argument("--mode", choices=["text", "code", "auto"], default="text", help="auto: code where the file's name tells a language")
     p = sub.add_parser("compare")
     p.add_argument("a")
     p.add_argument("b")
@@ -41,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--profile", default="auto")
     p = sub.add_parser("inspect")
     p.add_argument("word")
+    p.add_argument("--json", action="store_true", help="the text entry with its synonyms")
     p = sub.add_parser("search")
     p.add_argument("query")
     p.add_argument("--corpus", required=True)
@@ -61,13 +63,21 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("semcodec").getOrCreate()
     if args.command == "encode":
         body = readers.text_files(spark, args.file).first()["content"] if args.file else args.text
-        rows, t = _encoded(spark, args, body or ""), F.col("tokens")
-        print(rows.select({"text": codec.to_text(t), "hex": F.hex(codec.to_binary(t, code_mode=bool(args.language))), "json": F.to_json(F.struct("tokens", "unknowns"))}[args.format]).first()[0])
+        if args.mode == "auto" and args.file:
+            args.language = args.language or spark.range(1).select(text.language_of(F.lit(args.file))).first()[0]
+        elif args.mode == "code":
+            args.language = args.language or "python"
+        rows = _encoded(spark, args, body or "")
+        print(rows.select(reports.form(rows, args.format, code_mode=bool(args.language))).first()[0])
     elif args.command == "compare":
         rows = _encoded(spark, args, args.a, args.b)
         pair = rows.where("doc_id = 0").select(F.col("tokens").alias("tokens_a")).join(rows.where("doc_id = 1").select(F.col("tokens").alias("tokens_b")), how="cross")
         out = align.compare(pair, profile_name_=args.profile)
         print(out.select(align.explain(F.col("tokens_a"), F.col("tokens_b"), F.col("result")) if args.explain else F.format_string("%.4f", "result.score")).first()[0])
+    elif args.command == "inspect" and args.json:
+        row = reports.entries(spark.createDataFrame([(args.word,)], "word string"), _dictionary(spark, args)).first()
+        print(row["entry"])
+        return 0 if row["found"] else 1
     elif args.command == "inspect":
         rows = lexicon.with_variants(_dictionary(spark, args)).where(F.col("key") == args.word.lower()).select("kind", "word", codec.address_text(F.col("addr")).alias("address"), "polarity", "formality", "intensity").collect()
         for row in rows:
@@ -77,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
         corpus = readers.corpus_jsonl(spark, args.corpus).withColumn("doc_id", F.monotonically_increasing_id())
         index = search.build(encode.encode(corpus.select("doc_id", F.col("content").alias("text")), _dictionary(spark, args)), "doc_id").join(corpus, "doc_id")
         found = search.search(index, _encoded(spark, args, args.query), top_k=args.top, threshold=args.threshold)
-        for row in found.select(F.to_json(F.struct("id", "score", "content"))).collect():
+        for row in found.select(reports.found_line()).collect():
             print(row[0])
     else:
         _build(spark, args)

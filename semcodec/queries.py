@@ -395,4 +395,4 @@ def frames_found(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(encode.frame_entries(words), lambda t: t["word"]), ",").alias("frames"))
 
 
-from . import queries_docs, queries_graph, queries_more  # noqa: E402, F401  they register more
+from . import queries_docs, queries_forms, queries_graph, queries_more  # noqa: E402, F401  they register more

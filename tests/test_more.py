@@ -34,6 +34,15 @@ def test_command_line(spark, capsys, tmp_path):
     assert run(capsys, "compare", "happy dog", "glad cat", "--explain")[1].startswith("score 0.")
     assert run(capsys, "inspect", "dog")[1].split("\t")[:3] == ["text", "dog", "NA000"]
     assert run(capsys, "inspect", "zzzz")[0] == 1
+    entry = json.loads(run(capsys, "inspect", "Dogs", "--json")[1])
+    assert {k: entry[k] for k in ("found", "token", "address", "domain", "category", "concept", "shade")} == {"found": True, "token": "Dogs", "address": "NA000", "domain": "NA", "category": 0, "concept": 0, "shade": "45"}
+    assert entry["synonyms"] == sorted(entry["synonyms"]) and "puppy" in entry["synonyms"] and "dog" not in entry["synonyms"]
+    assert run(capsys, "inspect", "zzzz", "--json") == (1, '{"found":false,"token":"zzzz"}')
+    shown = json.loads(run(capsys, "encode", "happy dog", "--format", "json")[1])
+    assert shown == {"sequence": "EM000:55·NA000:45", "byte_size": 72, "tokens": [{"word": "happy", "address": "EM000", "shade": "55"}, {"word": "dog", "address": "NA000", "shade": "45"}], "unknowns": []}
+    of_code = json.loads(run(capsys, "encode", "--file", str(tmp_path / "x.py"), "--mode", "auto", "--format", "json")[1])
+    assert of_code["language"] == "python" and of_code["structural_count"] >= 1 and of_code["structural_density"] == round(of_code["structural_count"] / (of_code["structural_count"] + of_code["semantic_count"]), 3)
+    assert run(capsys, "encode", "def x", "--mode", "code")[1] == run(capsys, "--language", "python", "encode", "def x")[1]
     (tmp_path / "c.jsonl").write_text("\n".join(json.dumps({"id": str(k), "content": t}) for k, t in enumerate(("small dog", "red plate", "happy cat"))))
     found = [json.loads(x) for x in run(capsys, "search", "dog", "--corpus", str(tmp_path / "c.jsonl"), "--top", "1")[1].splitlines()]
     assert [x["id"] for x in found] == ["0"]
