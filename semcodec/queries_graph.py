@@ -94,7 +94,7 @@ def senses_downwards(spark, sf_dir):
 #: relation: neighbours of a customer k that stands for a synset, as expressions that Spark and SQL share but for the whole division.
 _NEIGHBOURS = {"hypernym": ["k DIV 3", "k DIV 5"], "instance_hypernym": ["k DIV 7"], "verb_group": ["k + 1"], "similar": ["k + 2", "k - 2"], "antonym": ["k DIV 2"], "pertainym": ["k + 5", "k + 1"],
                "derived": ["k DIV 4", "k + 9"], "hyponym": ["3 * k + 2", "3 * k", "3 * k + 1"], "instance_hyponym": ["5 * k"], "also": ["k + 11", "k - 13", "k + 3"], "entails": ["k - 1"]}
-_SPEECH, _WIDTH, _UP, _DEEP = "nvasr", 2, 3, 2
+_SPEECH, _WIDTH, _UP, _DEEP = "nvasr", 2, 2, 1
 _RULES = ", ".join(f"('{p}', '{name}', '{kind}', {turn})" for kind, of in SENSE_RELATIONS.items() for pos, names in of.items() for p in pos for turn, name in enumerate(names.split()))
 _RELATED = " UNION ALL ".join(f"SELECT k AS synset, {e.replace('DIV', '//')} AS neighbor, '{name}' AS relation FROM p" for name, es in _NEIGHBOURS.items() for e in es)
 _UPWARDS, _DOWNWARDS = ([f"{name}{k}" for k in range(1, depth + 1)] for name, depth in (("up", _UP), ("dn", _DEEP)))
@@ -103,7 +103,7 @@ _UPWARDS, _DOWNWARDS = ([f"{name}{k}" for k in range(1, depth + 1)] for name, de
 @_query(f"""WITH p AS (SELECT c_custkey AS k, '{_SPEECH}'[c_nationkey % 5 + 1] AS pos FROM customer), rel AS ({_RELATED}), rules(pos, relation, kind, turn) AS (VALUES {_RULES}),
     r AS (SELECT synset, neighbor, kind, row_number() OVER (PARTITION BY synset, kind ORDER BY turn, neighbor) - 1 AS n, row_number() OVER (PARTITION BY synset, kind, turn ORDER BY neighbor) - 1 AS branch FROM rel JOIN p ON p.k = synset JOIN rules ON rules.pos = p.pos AND rules.relation = rel.relation),
     u AS (SELECT * FROM r WHERE kind = 'up'), x AS (SELECT * FROM r WHERE kind = 'derived' OR (kind = 'down' AND branch < {_WIDTH})), v AS (SELECT * FROM r WHERE kind = 'derived'),
-    a0 AS (SELECT k AS synset, k % 200 AS addr FROM p WHERE k % 97 = 5), {_steps("u", "a0", _UP, "up")}, b0 AS ({_all(["a0", *_UPWARDS])}), {_steps("x", "b0", _DEEP, "dn")}, c0 AS ({_all(["b0", *_DOWNWARDS])}), {_steps("v", "c0", 1, "dv")},
+    a0 AS (SELECT k AS synset, k % 200 AS addr FROM p WHERE k % 597 = 5), {_steps("u", "a0", _UP, "up")}, b0 AS ({_all(["a0", *_UPWARDS])}), {_steps("x", "b0", _DEEP, "dn")}, c0 AS ({_all(["b0", *_DOWNWARDS])}), {_steps("v", "c0", 1, "dv")},
     f AS (SELECT synset, addr, 'anchor' AS how FROM a0 UNION ALL SELECT synset, addr, 'up' FROM ({_all(_UPWARDS)}) UNION ALL SELECT synset, addr, 'down' FROM ({_all(_DOWNWARDS)}) UNION ALL SELECT synset, addr, 'derived' FROM dv1)
     SELECT p.k, pos, coalesce(addr, 4 * 65536) AS addr, coalesce(how, 'fallback') AS how FROM p LEFT JOIN f ON f.synset = p.k""")
 def sense_relations(spark, sf_dir):
@@ -113,6 +113,6 @@ def sense_relations(spark, sf_dir):
     related = F.array(*[F.struct(F.expr(e).cast("long").alias("to"), F.lit(relation).alias("relation")) for relation, es in _NEIGHBOURS.items() for e in es])
     relations = p.select("k", F.explode(related).alias("e")).where("e.to >= 0").select(name(F.col("k")).alias("synset"), name(F.col("e.to")).alias("neighbor"), "e.relation")
     synsets = p.select(name(F.col("k")).alias("synset"), "pos")
-    known = p.where("k % 97 = 5").select(name(F.col("k")).alias("synset"), (F.col("k") % 200).cast("int").alias("addr"))
+    known = p.where("k % 597 = 5").select(name(F.col("k")).alias("synset"), (F.col("k") % 200).cast("int").alias("addr"))
     found = senses.classify(synsets, known, senses.network(relations, synsets), up=_UP, down=_DEEP, branches=_WIDTH)
     return found.join(synsets, "synset").select(F.col("synset").cast("long").alias("k"), "pos", "addr", "how")
