@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import codec
 from .functions.constants import NULL_ADDRESS, PROFILES, RELATIONS, SENSE_RELATIONS
 from .operators import align, senses
-from .queries import _query, _quoted, _table
+from .queries import _dealt, _query, _quoted, _table
 from .queries_more import _SCALE_SQL
 
 _Q = 3 << 16
@@ -32,7 +32,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(k % 3 == 0, _Q + 5).otherwise(_Q + 2)
     a = _sequence("one", F.lit(5 << 16), _edge(F.lit(_Q + 2), k * 37 % 256, _kind(k)), _edge(F.lit(7 << 16), F.lit(255), F.lit("SYNONYM")))
     b = _sequence("two", F.lit(6 << 16), _edge(other, k * 53 % 256, _kind(F.floor(k / 5))), _edge(F.lit(8 << 16), F.lit(255), F.lit("SYNONYM")))
-    return _table(spark, sf_dir, "part").select(k.alias("k"), a.alias("a"), b.alias("b"))
+    return _dealt(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("k"), a.alias("a"), b.alias("b"))
 
 
 _KINDS = f"[{_quoted(RELATIONS)}]"
@@ -44,7 +44,7 @@ _KINDS = f"[{_quoted(RELATIONS)}]"
 def common_neighbours(spark, sf_dir):
     """Two tokens that only an address to which both have an edge brings together, under every profile."""
     rows = _linked(spark, sf_dir).withColumn("profile", F.explode(F.array(*map(F.lit, PROFILES))))
-    return rows.select("k", "profile", F.round(align.aligned(F.col("a"), F.col("b"), F.col("profile"))["score"], 6).alias("score"))
+    return rows.select("k", "profile", F.round(align.aligned_score(F.col("a"), F.col("b"), F.col("profile")), 6).alias("score"))
 
 
 _blank = f"{NULL_ADDRESS:06X}00"
