@@ -21,13 +21,18 @@ FALLBACK = "AB000"
 
 def best_synsets(words: DataFrame, senses: DataFrame) -> DataFrame:
     """(word, synset): the first sense that a word names, else its first sense."""
-    rows = senses.join(words.select("word").distinct(), "word", "left_semi")
+    rows = senses.join(_shuffled(words.select("word").distinct()), "word", "left_semi")
     return rows.groupBy("word").agg(F.min_by("synset", F.struct(~F.col("first"), "sense")).alias("synset"))
 
 
 def anchors(seeds: DataFrame, senses: DataFrame) -> DataFrame:
     """(synset, addr): every sense of a seed word (word, addr, seq) has its address, that of the first seed of several."""
-    return senses.join(seeds, "word").groupBy("synset").agg(F.min_by("addr", "seq").alias("addr"))
+    return senses.join(_shuffled(seeds), "word").groupBy("synset").agg(F.min_by("addr", "seq").alias("addr"))
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join that shuffles: tables of synsets are many times as large in memory as their files, by which Spark would choose to gather them on the driver and broadcast them."""
+    return rows.hint("merge")
 
 
 def placed(edges: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def placed(edges: DataFrame) -> DataFrame:
 
 def step(edges: DataFrame, last: DataFrame) -> DataFrame:
     """(synset, addr) of the synsets next to those of last (synset, addr): the address of the first neighbour."""
-    rows = edges.join(last.withColumnRenamed("synset", "neighbor"), "neighbor")
+    rows = edges.join(_shuffled(last.withColumnRenamed("synset", "neighbor")), "neighbor")
     return rows.groupBy("synset").agg(F.min_by("addr", F.struct("n", "neighbor")).alias("addr"))
 
 
@@ -47,21 +52,21 @@ def nearest(known: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
     All synsets take a step at once: in each round those next to a classified one are classified, so the rounds are at most `depth`, and
     a result doesn't depend on the order in which synsets are looked at. Edges are partitioned once; a round joins them with the synsets of the round
-    before and asks which of those that it reaches are classified already. What it reaches is broadcast for that if it's small; else the classified are shuffled.
+    before and asks which of those that it reaches are classified already. Nothing is gathered on the driver.
     """
     found = last = known.select("synset", "addr")
     own = placed(edges)
     try:
         for _ in range(depth):
             reached = shared.written(step(own, last))
-            before = found.select("synset").join(reached.select("synset"), "synset", "left_semi").distinct()  # as many as were reached at most
-            last = shared.written(reached.join(before, "synset", "left_anti"))
+            before = found.select("synset").join(_shuffled(reached.select("synset")), "synset", "left_semi").distinct()  # as many as were reached at most
+            last = shared.written(reached.join(_shuffled(before), "synset", "left_anti"))
             if last.isEmpty():
                 break
             found = found.union(last)
     finally:
         own.unpersist()
-    return found.join(known.select("synset"), "synset", "left_anti")
+    return found.join(_shuffled(known.select("synset")), "synset", "left_anti")
 
 
 def classify(synsets: DataFrame, known: DataFrame, edges: DataFrame, *, blocked: list[str] = (), up: int = UP_DEPTH, down: int = DOWN_DEPTH, branches: int = BRANCHES) -> DataFrame:
@@ -77,7 +82,7 @@ def classify(synsets: DataFrame, known: DataFrame, edges: DataFrame, *, blocked:
         if how != "derived":
             more = more.where(~F.col("synset").isin(*blocked))
         out = shared.written(out.union(more.select("synset", "addr", F.lit(how))))
-    rest = synsets.select("synset").distinct().join(out.select("synset"), "synset", "left_anti")
+    rest = synsets.select("synset").distinct().join(_shuffled(out.select("synset")), "synset", "left_anti")
     address = codec.address_from_text(F.lit(FALLBACK))
     return out.union(rest.select("synset", address, F.lit("fallback")))
 
@@ -87,10 +92,10 @@ def words(classified: DataFrame, lemmas: DataFrame, seeds: DataFrame) -> DataFra
 
     pos: the word's parts of speech in the order of its synsets; others: up to SENSES - 1 other addresses.
     """
-    rows = lemmas.join(classified.select("synset", "addr"), "synset")
+    rows = lemmas.join(_shuffled(classified.select("synset", "addr")), "synset")
     own = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("synset", "addr", "pos"))).alias("s"))  # as many as the word has senses
     first = seeds.groupBy("word").agg(F.min_by("addr", "seq").alias("seed"))
-    out = own.join(first, "word", "left").withColumn("addr", F.coalesce("seed", F.col("s")[0]["addr"]))
+    out = own.join(_shuffled(first), "word", "left").withColumn("addr", F.coalesce("seed", F.col("s")[0]["addr"]))
     others = F.slice(F.filter(F.array_distinct(F.transform("s", lambda x: x["addr"])), lambda a: a != F.col("addr")), 1, SENSES - 1)
     return out.select("word", "addr", F.col("s")[0]["synset"].alias("synset"), F.array_distinct(F.transform("s", lambda x: x["pos"])).alias("pos"), others.alias("others"))
 
@@ -116,7 +121,7 @@ def network(relations: DataFrame, parts: DataFrame) -> DataFrame:
     rules = [(p, relation, kind, turn) for kind, of in SENSE_RELATIONS.items() for pos, names in of.items() for p in pos for turn, relation in enumerate(names.split())]
     rules = relations.sparkSession.createDataFrame(rules, "pos string, relation string, kind string, turn int")
     place = F.col("place") if "place" in relations.columns else F.lit(0)
-    rows = relations.withColumn("_place", place).join(parts.select("synset", "pos"), "synset").join(F.broadcast(rules), ["pos", "relation"])
+    rows = relations.withColumn("_place", place).join(_shuffled(parts.select("synset", "pos")), "synset").join(F.broadcast(rules), ["pos", "relation"])
     of = Window.partitionBy("synset", "kind")
     rows = rows.withColumn("branch", F.row_number().over(Window.partitionBy("synset", "kind", "turn").orderBy("_place", "neighbor")) - 1)
     return rows.withColumn("n", F.row_number().over(of.orderBy("turn", "_place", "neighbor")) - 1).select("synset", "neighbor", "kind", "n", "branch")

@@ -115,4 +115,4 @@ def sense_relations(spark, sf_dir):
     synsets = p.select(name(F.col("k")).alias("synset"), "pos")
     known = p.where("k % 597 = 5").select(name(F.col("k")).alias("synset"), (F.col("k") % 200).cast("int").alias("addr"))
     found = senses.classify(synsets, known, senses.network(relations, synsets), up=_UP, down=_DEEP, branches=_WIDTH)
-    return found.join(synsets, "synset").select(F.col("synset").cast("long").alias("k"), "pos", "addr", "how")
+    return found.join(synsets.hint("merge"), "synset").select(F.col("synset").cast("long").alias("k"), "pos", "addr", "how")

@@ -4,8 +4,9 @@ import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from semcodec.operators import align, kernel
+from semcodec.operators import align, kernel, senses
 
 TOKENS = pa.list_(pa.struct([("addr", pa.int32()), ("shade", pa.int32()), ("related", pa.list_(pa.struct([("addr", pa.int32()), ("weight", pa.int32()), ("type", pa.string())])))]))
 KINDS = ["SYNONYM", "ANTONYM", "CAUSES", "IS_A", "ODD"]
@@ -36,3 +37,15 @@ def test_pairs_of_many_distinct_tokens_with_edges_are_quick():
     start = time.process_time()
     found = kernel.scores(side(5), side(6), [align.profile("topical")] * 4000, False)
     assert time.process_time() - start < 1.5 and (found > 0).sum() > 1000
+
+
+def test_no_table_of_synsets_is_gathered_on_the_driver(spark):
+    edges = spark.createDataFrame([("a", "b", "hypernym"), ("b", "c", "hypernym")], "synset string, neighbor string, relation string")
+    parts = spark.createDataFrame([("a", "n"), ("b", "n")], "synset string, pos string")
+    known = spark.createDataFrame([("c", 7)], "synset string, addr int")
+    rows = senses.network(edges, parts)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert plan(rows).count("BroadcastHashJoin") == 1  # the fixed rules
+    assert "BroadcastHashJoin" not in plan(senses.step(edges.withColumn("n", F.lit(0)), known))
+    found = {r["synset"]: (r["addr"], r["how"]) for r in senses.classify(parts, known, rows).collect()}
+    assert found == {"a": (7, "up"), "b": (7, "up"), "c": (7, "anchor")}
