@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from semcodec.operators import align, kernel, senses
+from semcodec.operators import align, encode, kernel, lexicon, senses
 
 TOKENS = pa.list_(pa.struct([("addr", pa.int32()), ("shade", pa.int32()), ("related", pa.list_(pa.struct([("addr", pa.int32()), ("weight", pa.int32()), ("type", pa.string())])))]))
 KINDS = ["SYNONYM", "ANTONYM", "CAUSES", "IS_A", "ODD"]
@@ -49,3 +49,16 @@ def test_no_table_of_synsets_is_gathered_on_the_driver(spark):
     assert "BroadcastHashJoin" not in plan(senses.step(edges.withColumn("n", F.lit(0)), known))
     found = {r["synset"]: (r["addr"], r["how"]) for r in senses.classify(parts, known, rows).collect()}
     assert found == {"a": (7, "up"), "b": (7, "up"), "c": (7, "anchor")}
+
+
+def test_words_outside_of_a_large_dictionary_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "BROADCAST_BYTES", 10)
+    own = lexicon.sample(spark).withColumn("synset", F.lit(""))
+    docs = spark.createDataFrame([(1, "zebra happy unicorn dogs qwerty " * 50), (2, None), (3, "qwerty")], "doc_id long, text string")
+    split = encode._told_apart(docs.select(F.col("doc_id").alias("id"), "text"), lexicon.prepared(own), False)
+    assert sum(len(r["some"]) for r in split.collect()) < 130  # of 251 words, 100 are in it
+    for exact in (True, False):
+        if not exact:  # a map that lets words pass that aren't keys
+            monkeypatch.setattr(lexicon, "key_filter", lambda table: (lambda w: w, lambda words: F.transform(words, lambda w: ~w.startswith("q"))))
+        found = {r["doc_id"]: ([t["word"] for t in r["tokens"]], r["unknowns"]) for r in encode.encode(docs, own, context=False).collect()}
+        assert found == {1: (["happy", "dog"] * 50, ["zebra", "unicorn", "qwerty"] * 50), 2: ([], []), 3: ([], ["qwerty"])}
