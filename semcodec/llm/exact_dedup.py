@@ -1,8 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
-Texts are equal when they agree once the characters [\\x20\\x09-\\x0D] are deleted. A first pass reduces each text
-to its length and a digest; a text whose (length, digest) nobody else has is alone. The others (and only
-they) are compared without hashing: the normalised text is cut into blocks of fixed size, equal blocks get
+Texts are equal when they agree once the characters [\\x20\\x09-\\x0D] are deleted. All texts are compared without
+hashing: the normalised text is cut into blocks of fixed size, equal blocks get
 one integer name (the smallest place where the block stands), then adjacent names are paired and the pairs named in
 the same way, until each document has one name. Two documents have one name exactly if their texts are equal.
 
@@ -13,13 +12,14 @@ stands in a third of all documents are dealt over many tasks (common.summed).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, passing, prepare_workers, summed
+from .common import drop, materialize, prepare_workers, summed
 
 #: Bytes of a block, as a power of two; and places that a row's blocks may take.
 BLOCK_BYTES = 2048
@@ -40,11 +40,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_chars, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tag, pa.int64())], ["doc_id", "n_chars", "size", "text_sha256", "tag"])
 
 
-def _blocks(block_bytes: int, keep):
+def _blocks(block_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if keep is not None:
-                batch = keep(batch)
             rows, tags, numbers, parts = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = (text.as_py() or b"").translate(None, _SPACES)
@@ -52,7 +50,7 @@ def _blocks(block_bytes: int, keep):
                 rows += [row] * len(pieces)
                 tags += [int.from_bytes(hashlib.sha256(body).digest()[:8], "big", signed=True)] * len(pieces)
                 numbers += range(len(pieces))
-                parts += pieces
+                parts += [zlib.compress(x, 1) for x in pieces]  # without loss, so equal exactly if the blocks are; it is what is shuffled
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tags, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], ["rid", "tag", "k", "part"])
 
     return cut
@@ -64,16 +62,14 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     return named.select("rid", "tag", "k", F.col("name.rid").alias("n1"), F.col("name.tag").alias("n2"), F.col("name.k").alias("n3"))
 
 
-def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES, keep=None) -> DataFrame:
+def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(rid, tag, n1, n2, n3) for texts (rid, text): the three integers are a text's name.
 
-    keep: what common.passing() gives with texts; texts that it leaves out get no name and aren't shuffled.
-
     tag tells apart rows of one rid. The number of levels is the logarithm of the longest text's blocks. A text
     that is down to one name is paired with "nothing" at each further level, which no longer text can be.
     """
     prepare_workers(texts.sparkSession)
-    parts = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_blocks(block_bytes, keep), "rid long, tag long, k long, part binary")
+    parts = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_blocks(block_bytes), "rid long, tag long, k long, part binary")
     level = materialize(_named(parts, ["part"]), "names")
     most = level.agg(F.max("k")).first()[0] or 0
     while most > 0:
@@ -100,19 +96,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     seen = docs.mapInArrow(_digests, "doc_id long, n_chars long, size long, text_sha256 string, tag long")
     seen = materialize(seen.withColumn("rid", F.coalesce("doc_id", F.lit(-1))).withColumn("row", F.monotonically_increasing_id()), "digests")
-    # a table of its own, so that the join's two sides are dealt apart and a text that very many rows have can be split
-    alike = materialize(seen.groupBy("size", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("size", "text_sha256"), "alike")
-    members = seen.join(alike, ["size", "text_sha256"], "left_semi").groupBy("rid", "tag").agg(F.count("*").alias("m"), F.max("n_chars").alias("best"), F.max(F.struct("n_chars", "row"))["row"].alias("best_row"), F.max("doc_id").alias("member"))
+    members = seen.groupBy("rid", "tag").agg(F.count("*").alias("m"), F.max("n_chars").alias("best"), F.max(F.struct("n_chars", "row"))["row"].alias("best_row"), F.max("doc_id").alias("member"))
     members = materialize(members, "members")
-    drop(alike)
-    texts, keep = passing(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("rid"), "text"), "rid", members, "rid")
-    names = block_names(texts, block_bytes, keep)
+    names = block_names(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("rid"), "text"), block_bytes)
     named = members.join(names, ["rid", "tag"])
     first = F.min(F.struct((-F.col("best")).alias("best"), F.col("member").isNull().alias("none"), "member"))
     info = summed(named, ["n1", "n2", "n3"], ["rid", "tag"], group_size=F.sum("m"), first=first).select("rid", "tag", "best_row", "group_size", F.col("first.member").alias("first_id"), (-F.col("first.best")).alias("first_chars"))
-    out = seen.join(info, ["rid", "tag"], "left")
-    alone = F.col("group_size").isNull()
-    best = alone | (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_chars") == F.col("first_chars")) & (F.col("row") == F.col("best_row")))
-    return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), best.alias("kept"), "text_sha256", "n_chars"
-    )
+    out = seen.join(info, ["rid", "tag"])
+    best = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_chars") == F.col("first_chars")) & (F.col("row") == F.col("best_row"))
+    return out.select("doc_id", F.col("first_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), best.alias("kept"), "text_sha256", "n_chars")
