@@ -436,9 +436,10 @@ def region_pairs(spark, sf_dir):
     SELECT x.p_partkey, round(coalesce(dot, 0) / (x.norm * y.norm), 6) AS cosine, round(0.5 * coalesce(dot, 0) / (x.norm * y.norm) + 0.5 * len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) AS similarity
     FROM g x JOIN g y ON y.p_partkey = x.p_partkey + 1 JOIN s a ON a.p_partkey = x.p_partkey JOIN s b ON b.p_partkey = y.p_partkey LEFT JOIN h ON h.p_partkey = x.p_partkey""")
 def fingerprint_similarities(spark, sf_dir):
-    """Each part's fingerprint against the next one's."""
-    rows = fingerprint.fingerprint(_typed_parts(spark, sf_dir), 16, "p_partkey").where("total > 0").select("p_partkey", F.struct("top", "histogram").alias("a"))
-    pairs = rows.join(rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
+    """Each part's fingerprint against the next one's. The counts that fingerprints follow from are shuffled; no table is gathered on the driver, however small its file is."""
+    rows = shared.written(_typed_parts(spark, sf_dir).where(F.size("tokens") > 0).select("p_partkey", fingerprint.counts(F.col("tokens")).alias("c")))
+    pairs = rows.join(rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("c").alias("d")).hint("merge"), "p_partkey")
+    pairs = pairs.select("p_partkey", *[F.struct(fingerprint.top(F.col(c), 16).alias("top"), fingerprint.histogram(F.col(c)).alias("histogram")).alias(name) for c, name in (("c", "a"), ("d", "b"))])
     return pairs.select("p_partkey", F.round(fingerprint.histogram_cosine(F.col("a.histogram"), F.col("b.histogram")), 6).alias("cosine"), F.round(fingerprint.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
